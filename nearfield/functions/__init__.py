@@ -1 +1 @@
-
+"""Similarities, codings and rotation."""

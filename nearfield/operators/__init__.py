@@ -1 +1 @@
-
+"""Search, clustering and index operators."""

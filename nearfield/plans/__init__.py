@@ -1 +1 @@
-
+"""Reusable pieces of logical plans."""

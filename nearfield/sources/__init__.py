@@ -1 +1 @@
-
+"""Readers, writers and the versioned store."""
