@@ -127,7 +127,8 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             marks.append((*struct.unpack_from("<2I", data, at), np.frombuffer(data, "<u8", LANES, at + 8)))
             at += 8 + 8 * LANES
         for i, (t, w, states) in enumerate(marks):
-            units.append((len(sizes), t, (marks[i + 1][0] if i + 1 < len(marks) else steps) - t, base + w, states))
+            end, _, after = marks[i + 1] if i + 1 < len(marks) else (steps, 0, np.full(LANES, LOW))
+            units.append((len(sizes), t, end - t, base + w, states, after))
         words.append(np.frombuffer(data, "<u4", n_words, at))
         at += 4 * n_words
         base += n_words
@@ -153,7 +154,9 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w = stream[np.minimum(place[:live, None] + rank - 1, len(stream) - 1)]
         x[:live] = np.where(m, y << half | w.astype(np.uint64), y)
         place[:live] += rank[:, -1]
-    for u, (b, t, k, _, _) in enumerate(units):
+    if units and (x != np.array([u[5] for u in units])).any():
+        raise ValueError("states do not meet the next checkpoint")
+    for u, (b, t, k, *_) in enumerate(units):
         out[b][t : t + k] = symbols[made[:k, u]]
     ids = [o.ravel()[:s] for o, s in zip(out, sizes, strict=True)]
     for i, crc in zip(ids, crcs, strict=True):

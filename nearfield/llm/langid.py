@@ -36,6 +36,8 @@ class Model:
 def fit(texts: dict[str, list[bytes]], cells: int = 12_000_000) -> Model:
     """texts: whole labelled texts by language.  cells: bound on costs kept; the rarest order-3 contexts go beyond it."""
     langs = sorted(texts)
+    if not langs:
+        return Model([], np.zeros(256, np.int32), 1, np.zeros(1, np.int32), np.zeros((2, 1), np.float32))
     seen = np.zeros(256, bool)
     seen[32] = True
     for t in (t for x in texts.values() for t in x):
