@@ -264,25 +264,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(k: int, least: int, source: str = "documents") -> str:
+    """Shingles by a 64-bit hash of their words; sets of equal content once, as pairs of different sets are what costs."""
+    words = ", ".join(f"w[i + {j}]" for j in range(k))
     return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS w FROM {source}),
 s AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) END AS g FROM d),
-u AS (SELECT doc_id, unnest(g) AS x FROM s),
-f AS (SELECT x FROM u GROUP BY x HAVING count(*) > 1),
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [hash(w)]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: hash({words})))) END AS g FROM d),
+o AS (SELECT min(doc_id) AS id, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+u AS (SELECT id, n, unnest(g) AS x FROM o),
 i AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id
-  WHERE a.x IN (SELECT x FROM f) GROUP BY 1, 2),
-e AS (
-  SELECT a, b FROM i JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b
-  WHERE 100 * n >= {least} * (len(p.g) + len(q.g) - n)),
+  SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.id < b.id
+  WHERE 100 * least(a.n, b.n) >= {least} * greatest(a.n, b.n) GROUP BY 1, 2, 3, 4),
+e AS (SELECT a, b FROM i WHERE 100 * n >= {least} * (na + nb - n)),
 l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT doc_id AS id, doc_id AS dest FROM s UNION SELECT r.id, l.b FROM r JOIN l ON r.dest = l.a),
-c AS (SELECT id, min(dest) AS component_id FROM r GROUP BY id)
-SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON doc_id = id
+r AS (SELECT id, id AS dest FROM o UNION SELECT r.id, l.b FROM r JOIN l ON r.dest = l.a),
+c AS (SELECT g, min(dest) AS component_id FROM r JOIN o ON o.id = r.id GROUP BY g)
+SELECT doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       doc_id = coalesce(component_id, doc_id) AS kept
+FROM s LEFT JOIN c ON s.g = c.g
 """
 
 
