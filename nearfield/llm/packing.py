@@ -151,13 +151,13 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands
     named = ["uid", (F.lit(level << 56) + F.col("shard") * 2**22 + F.col("bin")).cast("long").alias("bin"), "offset"]
     if shards == 1:
         return out.select(*named)
-    # The emptiest sequence of every shard, again and together.
+    # The emptiest sequence of every shard, again and together, in larger shards so that this ends.
     out = durable(out, "packed")
     fill = out.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
     loose = fill.groupBy("shard").agg(F.min_by("bin", F.struct("fill", "bin")).alias("bin"))
     again = durable(out.join(loose, ["shard", "bin"], "left_semi").select("uid", "length"), "loose")
     rest = out.join(loose, ["shard", "bin"], "left_anti").select(*named)
-    return rest.union(pack(again, capacity, shard, islands, rounds, seed, level + 1))
+    return rest.union(pack(again, capacity, 2 * shard, islands, rounds, seed, level + 1))
 
 
 def _shards(s: DataFrame, capacity: int, islands: int, rounds: int, seed: int) -> DataFrame:

@@ -80,7 +80,7 @@ def test_language(spark, tables):
 
 
 def test_mix_properties(spark, tables):
-    d = docs(spark, tables).select("doc_id", mixing.words(docs(spark, tables)["text"]).alias("size"), "source")
+    d = docs(spark, tables).select("doc_id", mixing.words(mixing.F.col("text")).alias("size"), "source")
     rows = mixing.mix(d).collect()
     assert len(rows) == len(texts()) + 1
     by = defaultdict(list)
