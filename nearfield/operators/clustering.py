@@ -57,7 +57,7 @@ def assign(vecs: DataFrame, ids: np.ndarray, centroids: np.ndarray) -> DataFrame
 
 def assign_columns(vecs: DataFrame, centroids: DataFrame) -> DataFrame:
     """The same in the JVM.  centroids: centroid_id, cvec."""
-    d = vecs.join(F.broadcast(centroids)).withColumn("distance", distance("vec", "cvec"))
+    d = vecs.crossJoin(centroids).withColumn("distance", distance("vec", "cvec"))
     best = F.min(F.struct("distance", "centroid_id")).alias("best")
     return d.groupBy("id").agg(best).select("id", "best.centroid_id", "best.distance")
 

@@ -62,13 +62,13 @@ def search(queries: DataFrame, docs: DataFrame, k: int, similarity: str = "l2",
     if found is None:
         return docs.sparkSession.createDataFrame([], "qid long, rank int, id long, distance double")
     few = top_k(found, k + spare, order=["rough", "id"]).select("qid", "id")
-    few = few.join(F.broadcast(queries.select(F.col("id").alias("qid"), F.col("vec").alias("q"))) if queries is docs else queries.select(F.col("id").alias("qid"), F.col("vec").alias("q")), "qid")
+    few = few.join(queries.select(F.col("id").alias("qid"), F.col("vec").alias("q")), "qid")
     exact = few.join(docs.select("id", "vec"), "id").select("qid", "id", sim.distance("q", "vec", kind).alias("distance"))
     return top_k(exact, k).select("qid", "rank", "id", "distance")
 
 
 def pairs(queries: DataFrame, docs: DataFrame, similarity: str = "l2", on: Column | None = None) -> DataFrame:
-    """qid, id, distance of all pairs that meet `on`, in the JVM.  queries is small: it goes to every task if it fits."""
+    """qid, id, distance of all pairs that meet `on`, in the JVM.  Spark sends the smaller side to every task if it fits."""
     q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), *[F.col(c).alias(f"q_{c}") for c in queries.columns if c not in ("id", "vec")])
     joined = q.join(docs, on) if on is not None else q.crossJoin(docs)
     return joined.withColumn("distance", sim.distance("qvec", "vec", similarity)).drop("qvec", "vec")

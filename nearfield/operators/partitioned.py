@@ -18,9 +18,10 @@ from nearfield.functions.coding import coding
 from nearfield.functions.similarity import block, distance
 from nearfield.operators import clustering as km
 from nearfield.operators.coded import encode, rerank
+from nearfield.operators.exact import search as search_exact
 from nearfield.plans.blocks import codes, matrix, small
 from nearfield.plans.durable import durable
-from nearfield.plans.topk import ranked, top_k
+from nearfield.plans.topk import top_k
 
 
 @dataclass(frozen=True)
@@ -128,15 +129,24 @@ def rebalance_ops(counts: DataFrame, least: int, most: int) -> DataFrame:
 def select_centroids(queries: DataFrame, centroids: DataFrame, counts: DataFrame, top_n: int | None = None, vector_count: int | None = None, similarity: str = "l2") -> DataFrame:
     """qid, centroid_id, rank of the lists to read: the top_n nearest, or the nearest until vector_count is reached.
 
-    The list that crosses the count is read; a centroid without a count holds none.
+    The list that crosses the count is read; a centroid without a count holds none.  Centroids are scanned in batches and
+    not sent around; for vector_count ever more of the nearest are looked at until every query has its count.
     """
-    d = queries.select(F.col("id").alias("qid"), F.col("vec").alias("q")).join(F.broadcast(centroids))
-    d = d.select("qid", "centroid_id", distance("q", "cvec", similarity).alias("distance"))
+    heads = centroids.select(F.col("centroid_id").alias("id"), F.col("cvec").alias("vec"))
+    near = lambda k: search_exact(queries, heads, k, similarity).select("qid", F.col("id").alias("centroid_id"), "rank")
     if top_n is not None:
-        return top_k(d, top_n, order=["distance", "centroid_id"]).select("qid", "centroid_id", "rank")
-    d = ranked(d.join(F.broadcast(counts), "centroid_id", "left"), ["qid"], ["distance", "centroid_id"])
-    before = F.sum(F.coalesce("count", F.lit(0))).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    return d.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < vector_count).select("qid", "centroid_id", "rank")
+        return near(top_n)
+    k, most = 16, centroids.count()
+    while True:
+        before = F.sum(F.coalesce("count", F.lit(0))).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+        d = near(k).join(counts, "centroid_id", "left").withColumn("before", F.coalesce(before, F.lit(0)))
+        if k >= most:
+            break
+        reached = d.groupBy("qid").agg(F.sum("count").alias("n")).agg(F.min("n")).first()[0]
+        if reached is None or reached >= vector_count:
+            break
+        k *= 4
+    return d.where(F.col("before") < vector_count).select("qid", "centroid_id", "rank")
 
 
 def parse_selector(text: str) -> dict[str, int]:
@@ -177,7 +187,7 @@ def search_stats(index: Index, queries: DataFrame, selector: str = "top_n:8") ->
     """qid, postings_read, vectors_read."""
     counts = stats(index.centroids, index.postings)
     chosen = select_centroids(queries, index.centroids, counts, **parse_selector(selector), similarity=index.config.similarity)
-    return chosen.join(F.broadcast(counts), "centroid_id").groupBy("qid").agg(F.count("*").alias("postings_read"), F.sum("count").alias("vectors_read"))
+    return chosen.join(counts, "centroid_id").groupBy("qid").agg(F.count("*").alias("postings_read"), F.sum("count").alias("vectors_read"))
 
 
 def split_reassign(vecs: DataFrame, source: int, old: np.ndarray, ids: tuple[int, int], pair: np.ndarray, others: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -293,16 +303,16 @@ def nearby_reassign(assigned: DataFrame, vecs: DataFrame, centroids: DataFrame,
     """Vectors strictly nearer to a fresh centroid than to their own: id, centroid_id, to.
 
     assigned: id, centroid_id; centroids, fresh: centroid_id, cvec."""
-    own = assigned.join(vecs, "id").join(F.broadcast(centroids), "centroid_id")
+    own = assigned.join(vecs, "id").join(centroids, "centroid_id")
     own = own.select("id", "centroid_id", "vec", distance("vec", "cvec").alias("own"))
-    new = own.join(F.broadcast(fresh.select(F.col("centroid_id").alias("to"), "cvec")))
+    new = own.join(fresh.select(F.col("centroid_id").alias("to"), "cvec"))
     new = new.select("id", "centroid_id", "own", F.struct(distance("vec", "cvec").alias("d"), F.col("to")).alias("b"))
     return new.groupBy("id", "centroid_id", "own").agg(F.min("b").alias("b")).where("b.d < own").select("id", "centroid_id", "b.to")
 
 
 def delete_depth(assigned: DataFrame, vecs: DataFrame, centroids: DataFrame, beam: int, similarity: str = "l2") -> DataFrame:
     """For each record, the place of its own list among the `beam` centroids nearest to its own vector; null if beyond."""
-    d = vecs.join(F.broadcast(centroids)).select("id", "centroid_id", distance("vec", "cvec", similarity).alias("distance"))
+    d = vecs.join(centroids).select("id", "centroid_id", distance("vec", "cvec", similarity).alias("distance"))
     near = top_k(d, beam, group=["id"], order=["distance", "centroid_id"]).select("id", "centroid_id", F.col("rank").alias("depth"))
     return assigned.join(near, ["id", "centroid_id"], "left").select("id", "centroid_id", "depth")
 
