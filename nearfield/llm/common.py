@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="nearfield-")
-    return _OWN[app]
-
+from nearfield.plans.durable import durable, scratch_root
 
-def durable(df: DataFrame, tag: str = "t", codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/nearfield-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "durable", "partitions", "positions", "scratch_root"]
 
 
 def partitions(spark: SparkSession) -> int:
