@@ -5,6 +5,8 @@ last 32 bytes has its top bits zero (within size limits), each chunk is named by
 stored copy of every chunk.  A document keeps the ordered list of its chunk names.  Reading back decompresses the stored
 chunks, checks every digest, joins multi-chunk media together in order, and checks the media's own digest.
 
+Chunks are compressed with a dictionary that is trained on a bounded sample and kept with the store.
+
 Defined results: null and empty texts are a payload of 64 zero bytes; equal texts share all chunks and have equal
 values; repeated rows give a row each; very long texts are a list of chunks, cut within one task; no rows, no result.
 """
@@ -110,14 +112,37 @@ def recipes(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n_bytes long, media_sha256 string, digests array<binary>")
 
 
-def chunks(docs: DataFrame, text: str = "text", level: int = 9) -> DataFrame:
+#: Bounds of the dictionary's sample (documents first by hash, greatest length, bytes of each) and its size.
+SAMPLE, LONGEST, EACH, DICTIONARY = 600, 65_536, 32_768, 65_536
+
+
+def dictionary(docs: DataFrame, text: str = "text") -> bytes:
+    """Compression dictionary for chunks; empty where the sample is too small for one.  It changes no result."""
+    import zstandard
+
+    ids = [r[0] for r in docs.select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE).collect()]
+    rows = docs.where(F.col("doc_id").isin([i for i in ids if i is not None]) & (F.length(text) <= LONGEST)).select("doc_id", text)
+    sample = [to_media(payload(r[1])[1])[:EACH] for r in sorted(rows.limit(2 * SAMPLE).collect())]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, sample).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def _zstd(trained: bytes) -> dict:
+    import zstandard
+
+    return {"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}
+
+
+def chunks(docs: DataFrame, trained: bytes = b"", text: str = "text", level: int = 9) -> DataFrame:
     """digest and compressed bytes of every chunk, once per batch of rows."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=level)
+        press = zstandard.ZstdCompressor(level=level, **_zstd(trained))
         for b in batches:
             seen, out, held = set(), ([], []), 0
             for t in b.column(0):
@@ -138,23 +163,26 @@ def chunks(docs: DataFrame, text: str = "text", level: int = 9) -> DataFrame:
     return docs.select(text).mapInArrow(run, "digest binary, z binary")
 
 
-def store(docs: DataFrame, recipe: DataFrame, text: str = "text") -> DataFrame:
+def store(docs: DataFrame, recipe: DataFrame, trained: bytes = b"", text: str = "text") -> DataFrame:
     """The written chunk store: digest, z, whole (is all of some medium), part (is one chunk of several)."""
     one = F.size("digests") == 1
     uses = recipe.select("digests", one.alias("w"), (~one).alias("p")).select(F.explode("digests").alias("digest"), "w", "p")
     uses = uses.groupBy("digest").agg(F.max("w").alias("whole"), F.max("p").alias("part"))
-    held = chunks(docs, text).join(uses, "digest")
+    held = chunks(docs, trained, text).join(uses, "digest")
     one = held.groupBy("digest", "whole", "part").agg(F.first("z").alias("z"))
     return durable(one, "chunks", "none")
 
 
-def read_back(stored: DataFrame, recipe: DataFrame) -> DataFrame:
+def read_back(stored: DataFrame, recipe: DataFrame, trained: bytes = b"") -> DataFrame:
     """Features of every distinct medium, from the stored bytes alone.  A wrong digest or a lost chunk is an error."""
 
-    def unpack(digest: bytes, z: bytes) -> bytes:
+    def opener():  # noqa: ANN202
         import zstandard
 
-        raw = zstandard.ZstdDecompressor().decompress(z)
+        return zstandard.ZstdDecompressor(**_zstd(trained))
+
+    def unpack(press, digest: bytes, z: bytes) -> bytes:  # noqa: ANN001
+        raw = press.decompress(z)
         if hashlib.sha256(raw).digest() != digest:
             raise ValueError(f"chunk {digest.hex()} does not match its digest")
         return raw
@@ -162,15 +190,16 @@ def read_back(stored: DataFrame, recipe: DataFrame) -> DataFrame:
     def single(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        press = opener()
         for b in batches:
-            rows = [features(unpack(d.as_py(), z.as_py()), 1) for d, z in zip(b.column(0), b.column(1), strict=True)]
+            rows = [features(unpack(press, d.as_py(), z.as_py()), 1) for d, z in zip(b.column(0), b.column(1), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     def several(key, t):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        t = t.sort_by("seq")
-        m = b"".join(unpack(d.as_py(), z.as_py()) for d, z in zip(t.column("digest"), t.column("z"), strict=True))
+        t, press = t.sort_by("seq"), opener()
+        m = b"".join(unpack(press, d.as_py(), z.as_py()) for d, z in zip(t.column("digest"), t.column("z"), strict=True))
         if t.num_rows != t.column("n")[0].as_py() or hashlib.sha256(m).hexdigest() != key[0].as_py():
             raise ValueError(f"medium {key[0].as_py()} can't be rebuilt")
         return pa.Table.from_pylist([features(m, t.num_rows)], schema=arrow)
@@ -187,6 +216,7 @@ def read_back(stored: DataFrame, recipe: DataFrame) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     recipe = durable(recipes(docs), "recipes")
-    found = read_back(store(docs, recipe), recipe)
+    trained = dictionary(docs)
+    found = read_back(store(docs, recipe, trained), recipe, trained)
     out = recipe.select("doc_id", "n_bytes", "media_sha256").join(found, "media_sha256")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
