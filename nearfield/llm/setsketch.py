@@ -8,7 +8,8 @@ maximum-likelihood estimate from the registers passes over hopeless ones, and ev
 
 Equal sets are one class.  Confirmation goes in two steps, so that large groups never need all their pairs: first every
 class against the smallest id of each of its bands; then, in bands that still hold several components, classes of
-different components against each other, in blocks.
+different components against each other, in blocks that hold the texts: a pair is looked at in the first band it shares
+only, what a block has linked is one component from then on, and only links that join components leave it.
 
 Shingles are named by 64-bit hashes and equal sets by two 64-bit sums of these.  Defined results: null, empty and blank
 texts have an empty set and link with nothing; a row with a null id is returned alone with a null component; rows that
@@ -143,11 +144,11 @@ def sketches(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(key, id) of every band of four registers."""
+    """(band, key, id) of every band of four registers."""
     wide = 2 * BAND
     at = F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))
     key = F.transform(at, lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * wide + 1, F.lit(wide))))
-    return classes.select("id", F.explode(key).alias("key"))
+    return classes.select("id", F.posexplode(key).alias("band", "key"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame:
@@ -193,9 +194,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: int = 80, text: str = "t
     stars = durable(hopeful(stars, c, least), "stars")
     edges = durable(confirm(stars, texts, k, least), "edges")
     comp = durable(components(edges), "comp")
-    pairs = durable(residual(b, c, comp, least), "pairs")
-    more = confirm(pairs.join(stars, ["a", "b"], "left_anti"), texts, k, least)
-    comp = components(edges.union(more))
+    comp = components(edges.union(durable(residual(b, c, comp, texts, k, least), "more")))
     named = c.join(comp, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component_id"))
     out = s.join(named, ["n", "s1", "s2"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -225,38 +224,69 @@ def hopeful(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def residual(b: DataFrame, classes: DataFrame, comp: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
-    """Hopeful pairs (a < b) of classes in one band but in different components so far."""
+def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of a sorted set with each of others."""
+    ends = np.cumsum([len(o) for o in others])
+    x = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, x), len(one) - 1)] == x
+    return np.diff(np.concatenate([[0], np.cumsum(hit)[ends - 1]]))
+
+
+def residual(b: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, k: int, least: int, block: int = BLOCK) -> DataFrame:
+    """Confirmed links (a, b) of classes that share a band but were in different components: enough to join all that links."""
     at = b.join(comp.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("m"))
-    at = at.join(mixed.where("x < y").select("key", "m"), "key").join(classes.select("id", "n", "regs"), "id")
+    at = durable(at.join(mixed.where("x < y").select("key", "m"), "key").select("key", "band", "id", "component", "m"), "mixed")
+    mine = texts.join(at.select("id").distinct(), "id", "left_semi")
     at = at.withColumn("c", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     ij = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
-    at = at.withColumn("ij", F.explode(ij)).select("key", "ij.i", "ij.j", "c", "id", "n", "component", "regs")
+    full = mine.join(classes.select("id", "n", "regs"), "id").join(at.withColumn("ij", F.explode(ij)), "id")
+    full = full.select("key", "ij.i", "ij.j", "band", "c", "id", "n", "component", "regs", "text")
 
     def compare(key, t):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        i, j = key[1].as_py(), key[2].as_py()
+        i, j, band = key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py()
         c, ids, n, comp = (t.column(x).to_numpy() for x in ("c", "id", "n", "component"))
+        comp = comp.copy()
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        bands_ = regs.view(np.uint64)
+        text, sets = t.column("text"), {}
+
+        def shingled(r: int) -> np.ndarray:
+            if r not in sets:
+                sets[r] = shingles(text[r].as_py(), k)
+            return sets[r]
+
         left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
-        out: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+        out: list[tuple[int, int]] = []
         for r in left.tolist():
-            # Registers agree about as often as J; the bound on sizes holds for any pair.
             other = right[(ids[right] > ids[r]) if i == j else (ids[right] != ids[r])]
             other = other[comp[other] != comp[r]]
             other = other[100 * np.minimum(n[other], n[r]) >= least * np.maximum(n[other], n[r])]
             if len(other):
+                same = bands_[other] == bands_[r]
+                other = other[same.argmax(1) == band]
+            if len(other):  # registers agree about as often as J
                 other = other[(regs[other] == regs[r]).sum(1) >= REGISTERS * (least / 100 - MARGIN)]
             if len(other):
                 est = estimate(np.broadcast_to(regs[r], (len(other), REGISTERS)), np.full(len(other), n[r]), regs[other], n[other])
                 other = other[est >= least / 100 - MARGIN]
-                out.append(np.stack([np.minimum(ids[other], ids[r]), np.maximum(ids[other], ids[r])], 1))
-        pairs = np.concatenate(out)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return at.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+            for s in range(0, len(other), 64):
+                some = other[s : s + 64]
+                some = some[comp[some] != comp[r]]
+                if not len(some):
+                    continue
+                own = shingled(r)
+                sizes = np.array([len(shingled(o)) for o in some.tolist()])
+                both = shared_counts(own, [shingled(o) for o in some.tolist()])
+                for o in some[(both > 0) & (100 * both >= least * (len(own) + sizes - both))].tolist():
+                    if comp[o] != comp[r]:
+                        out.append((int(ids[r]), int(ids[o])))
+                        comp[comp == comp[o]] = comp[r]
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
