@@ -149,15 +149,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS x FROM pages),
-p AS (
-  SELECT page_id,
+p AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, page_id,
          translate(regexp_extract(x, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r(h, s, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
                             ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 f AS (
-  SELECT page_id, h || s AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || s) DESC) AS k
+  SELECT n, h || s AS rule, verdict, row_number() OVER (PARTITION BY n ORDER BY length(h || s) DESC) AS k
   FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
-FROM p LEFT JOIN f ON p.page_id = f.page_id AND f.k = 1
+FROM p LEFT JOIN f ON p.n = f.n AND f.k = 1
 """

@@ -9,7 +9,7 @@ order of segment number, checked against the total length, and only then is the
 Archives are tables of (archive, record) whose `record` bytes, in order, are a WARC 1.1 file: Spark writes them to any
 store and commits them even if executors are lost.  `files()` reads plain or gzipped WARC files.
 
-Defined results: null and empty html is an empty payload; null urls are written as `urn:none`; equal rows are
+Defined results: null and empty html is an empty payload; a null page_id is a response with a null id; null urls are written as `urn:none`; equal rows are
 records of their own, all responses if one is, and come back as often; rows of one id with other html are told apart; very long bodies are many segments;
 no rows, no records.
 """
@@ -32,7 +32,7 @@ DEDUP, SEGMENT, CHUNKED, FRAME = 1000, 16_384, 8_192, 4_096
 DATE = "2024-01-01T00:00:00Z"
 
 
-def urn(page_id: int, tag: str, segment: int = 1) -> str:
+def urn(page_id: int | None, tag: str, segment: int = 1) -> str:
     """tag tells rows of one id with different payloads apart."""
     return f"<urn:x-page:{page_id}:{tag}>" if segment == 1 else f"<urn:x-page:{page_id}:{tag}/{segment}>"
 
@@ -71,7 +71,7 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def write_page(page_id: int, url: str | None, html: str | None, refers_to: int | None, tag: str = "0", segment: int = SEGMENT) -> Iterator[bytes]:
+def write_page(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, tag: str = "0", segment: int = SEGMENT) -> Iterator[bytes]:
     """The records of one page, in order."""
     body = (html or "").encode()
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:none"
@@ -145,7 +145,7 @@ def write(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
                     out, held = ([], []), 0
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["seq", "record"])
 
-    rows = p.where("page_id is not null").select("page_id", "url", "html", "_to", F.substring("_key", 1, 16)).mapInArrow(run, "seq int, record binary")
+    rows = p.select("page_id", "url", "html", "_to", F.substring("_key", 1, 16)).mapInArrow(run, "seq int, record binary")
     return durable(rows.withColumn("archive", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "warc")
 
 
@@ -242,7 +242,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(write(spark.read.parquet(f"{sf_dir}/pages.parquet")), keep_payload=False)
-    number = lambda c: F.regexp_extract(c, r"(-?\d+)", 1).cast("long")
+    number = lambda c: F.nullif(F.regexp_extract(c, r"x-page:(-?\d+):", 1), F.lit("")).cast("long")
     return found.select(
         number(F.col("id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
         F.when(F.col("refers_to").isNotNull(), number(F.col("refers_to"))).alias("refers_to"),

@@ -30,7 +30,7 @@ def tables(spark, tmp_path_factory):
     rows.append(rows[4])
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string, bin int").write.parquet(f"{d}/documents.parquet")
     big = "<p>" + "x" * 2000
-    pages = [(1, "http://A.example.org/es/1?x", big), (2, "https://example.org/en/12#a", big), (3, None, None), (4, "no scheme", ""), (5, "ftp://com/fr/", "y" * 90_000), (6, "http://b.com/de/2", "short"), (7, "http://x.net", "short"), (8, "http://", "é" * 40_000), (9, "http://notexample.org/es/", big), (5, "ftp://com/fr/", "y" * 90_000)]
+    pages = [(1, "http://A.example.org/es/1?x", big), (2, "https://example.org/en/12#a", big), (3, None, None), (4, "no scheme", ""), (5, "ftp://com/fr/", "y" * 90_000), (6, "http://b.com/de/2", "short"), (7, "http://x.net", "short"), (8, "http://", "é" * 40_000), (9, "http://notexample.org/es/", big), (5, "ftp://com/fr/", "y" * 90_000), (None, "http://org/", "z" * 3000)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     r = np.random.default_rng(0)
     base = r.normal(size=(8, 16))
@@ -144,10 +144,11 @@ def test_warc_files(spark, tables, tmp_path):
     data = b"".join(r["record"] for r in a.orderBy("at").collect())
     (tmp_path / "a.warc").write_bytes(data)
     found = warc.read(warc.files(spark, str(tmp_path))).collect()
-    assert len(found) == 10
+    assert len(found) == 11
     html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{tables}/pages.parquet").collect()}
     for r in found:
-        i = int(re.search(r"\d+", r["id"])[0])
+        i = re.search(r"page:(\w+):", r["id"])[1]
+        i = None if i == "None" else int(i)
         assert r["payload_digest"] == hashlib.sha1((html[i] or "").encode()).hexdigest()
         assert r["payload"] is None or r["payload"] == (html[i] or "").encode()
 
