@@ -1,8 +1,8 @@
 """Exhaustive search and ground truth.
 
-search() multiplies blocks of queries with batches of documents in Python workers, keeps a few more than k of each,
-merges by a window, and has Spark recompute the distances of that handful in double from left to right; pairs() scores
-given pairs in the JVM alone.
+search() multiplies blocks of queries with batches of documents in Python workers, scores every row that may be among the
+k by the bound of that product again in double from left to right, keeps k of each task by (distance, id), and merges them
+by a window; pairs() scores given pairs in the JVM alone.
 """
 
 from __future__ import annotations
@@ -17,54 +17,109 @@ from nearfield.functions import similarity as sim
 from nearfield.plans.blocks import collect_blocks, matrix
 from nearfield.plans.topk import top_k
 
-FOUND = "qid long, id long, rough double"
+FOUND = "qid long, id long, distance double"
+#: Rows scored at once by a matrix product; pairs scored at once in double.
+ROWS, PAIRS = 1024, 1 << 17
+
+
+def _rough(q: np.ndarray, x: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distances by a product in single precision, and a bound of how far they are from those of _exact().
+
+    The bound is that of a sum of n products in any order, (n + 8) * 2^-24 * |a||b|, and what may underflow.  NaN: unknown.
+    """
+    n = q.shape[1]
+    nq, nx = (np.sqrt(np.einsum("ij,ij->i", y, y, dtype=np.float64)) for y in (q, x))
+    with np.errstate(all="ignore"):
+        if kind == "cos":
+            q, x = (q / nq[:, None]).astype(np.float32), (x / nx[:, None]).astype(np.float32)
+            size = np.ones((len(q), len(x)))
+        else:
+            size = nq[:, None] * nx[None, :]
+        d = (q @ x.T).astype(np.float64)
+        off = 1.02 * (n + 8) * 2.0**-24 * size + n * 2.0**-120
+        if kind == "l2":
+            d = (nq * nq)[:, None] + (nx * nx)[None, :] - 2 * d
+            off = 2 * off + 8 * (n + 8) * 2.0**-53 * (nq[:, None] + nx[None, :]) ** 2
+        else:
+            d = (1 - d) / 2
+        d[~np.isfinite(d) | ~np.isfinite(off)] = np.nan
+    return d, off
+
+
+def _exact(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
+    """Distances of q[a] and x[b] in double, summed from left to right as similarity.distance() has them."""
+    qt, xt = q.T.astype(np.float64), x.T.astype(np.float64)
+    out = np.empty(len(a))
+    with np.errstate(all="ignore"):
+        own = [_fold(t * t) for t in (qt, xt)] if kind == "cos" else None
+        for at in range(0, len(a), PAIRS):
+            i, j = a[at : at + PAIRS], b[at : at + PAIRS]
+            d = np.zeros(len(i))
+            for u, v in zip(qt, xt, strict=True):
+                d += (u[i] - v[j]) ** 2 if kind == "l2" else u[i] * v[j]
+            if own:
+                d /= np.sqrt(own[0][i] * own[1][j])
+            out[at : at + PAIRS] = d if kind == "l2" else (1.0 - d) / 2
+    return out
+
+
+def _fold(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(rows.shape[1])
+    for r in rows:
+        out += r
+    return out
+
+
+def _first(q: np.ndarray, d: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least of each query by (distance, id), in order."""
+    order = np.lexsort((i, d, q))
+    q, d, i = q[order], d[order], i[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], d[keep], i[keep]
 
 
 def _scan(docs: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, similarity: str, self_free: bool) -> DataFrame:
-    """The k nearest rows of every batch, for every query."""
+    """The k nearest rows of every task, for every query."""
     shared = docs.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         qid, qs = shared.value
-        best_d = np.empty((len(qid), 0))
-        best_i = np.empty((len(qid), 0), np.int64)
+        best = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        most = np.full(len(qid), np.inf)  # no row beyond is among the k
         for b in batches:
-            if not b.num_rows:
-                continue
-            d = sim.block(qs, matrix(b.column(1)), similarity).astype(np.float64)
-            own = b.column(0).to_numpy()
-            if self_free:
-                d[qid[:, None] == own[None, :]] = np.inf
-            best_d = np.concatenate([best_d, d], 1)
-            best_i = np.concatenate([best_i, np.broadcast_to(own, d.shape)], 1)
-            if best_d.shape[1] > k:
-                keep = np.argpartition(best_d, k - 1, axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, keep, 1), np.take_along_axis(best_i, keep, 1)
-        ok = np.isfinite(best_d)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qid[:, None], ok.shape)[ok]), pa.array(best_i[ok]), pa.array(best_d[ok])], names=["qid", "id", "rough"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                x, own = matrix(part.column(1)), part.column(0).to_numpy()
+                d, off = _rough(qs, x, similarity)
+                free = qid[:, None] != own[None, :] if self_free else np.ones(d.shape, bool)
+                if len(x) >= k:
+                    high = np.where(free & ~np.isnan(d), d + off, np.inf)
+                    most = np.minimum(most, np.partition(high, k - 1, axis=1)[:, k - 1])
+                i, j = np.nonzero(free & ~(d - off > most[:, None]))
+                best = _first(*(np.concatenate(y) for y in zip(best, (i, _exact(qs, x, i, j, similarity), own[j]), strict=True)), k)
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(qid)) == k)
+                last = best[1][np.searchsorted(best[0], full, "right") - 1]
+                most[full] = np.fmin(most[full], last)
+        yield pa.RecordBatch.from_arrays([pa.array(qid[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["qid", "id", "distance"])
 
     return docs.select("id", "vec").mapInArrow(run, FOUND)
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int, similarity: str = "l2", self_free: bool = False, spare: int = 8) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, k: int, similarity: str = "l2", self_free: bool = False) -> DataFrame:
     """queries, docs: id, vec.  The k nearest docs of each query: qid, rank, id, distance.
 
-    self_free leaves out the doc with the query's own id.  spare: rows kept over k until the exact distances are known,
-    against rounding in single precision.
+    Equal distances go by id.  self_free leaves out the doc with the query's own id.
     """
     kind = sim.parse(similarity)
     found = None
     for ids, q in collect_blocks(queries, "id", "vec"):
-        part = _scan(docs, ids, q, k + spare, kind, self_free)
+        part = _scan(docs, ids, q, k, kind, self_free)
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "qid long, rank int, id long, distance double")
-    few = top_k(found, k + spare, order=["rough", "id"]).select("qid", "id")
-    few = few.join(queries.select(F.col("id").alias("qid"), F.col("vec").alias("q")), "qid")
-    exact = few.join(docs.select("id", "vec"), "id").select("qid", "id", sim.distance("q", "vec", kind).alias("distance"))
-    return top_k(exact, k).select("qid", "rank", "id", "distance")
+    return top_k(found, k).select("qid", "rank", "id", "distance")
 
 
 def pairs(queries: DataFrame, docs: DataFrame, similarity: str = "l2", on: Column | None = None) -> DataFrame:
