@@ -341,11 +341,12 @@ SCHEMA = "shard int, id long, entry boolean, edges array<long>, nav binary, best
 
 @dataclass
 class Index:
-    """config, and rows of SCHEMA: one a vertex."""
+    """config, and rows of SCHEMA: one a vertex, dealt to `shards` by shard_of()."""
 
     config: Config
     rows: DataFrame
     center: list[float] | None = field(default=None)
+    shards: int = 1
 
 
 def shard_of(id_: str, shards: int) -> F.Column:
@@ -389,13 +390,13 @@ def build(vecs: DataFrame, config: Config, rows_a_shard: int = 50_000, center: b
         g.build(t.column("id").to_pylist(), matrix(t.column("vec")))
         return _rows(g, key[0].as_py())
 
-    rows = vecs.select(shard_of("id", shards).alias("shard"), "id", "vec").groupBy("shard").applyInArrow(run, SCHEMA)
-    return Index(config, rows, mean)
+    rows = vecs.select(shard_of("id", shards).alias("shard"), "id", "vec").repartition(shards, "shard").groupBy("shard").applyInArrow(run, SCHEMA)
+    return Index(config, rows, mean, shards)
 
 
-def mutate(index: Index, upserts: DataFrame | None = None, deletes: DataFrame | None = None, shards: int = 1) -> Index:
-    """Delete ids, then insert or replace vectors (id, vec), in id order within each shard."""
-    config, center = index.config, index.center
+def mutate(index: Index, upserts: DataFrame | None = None, deletes: DataFrame | None = None, shards: int | None = None) -> Index:
+    """Delete ids, then insert or replace vectors (id, vec), in id order within each shard.  shards: those of the index."""
+    config, center, shards = index.config, index.center, shards or index.shards
     work = None
     for df, kind in ((deletes, "delete"), (upserts, "upsert")):
         if df is not None:
@@ -414,8 +415,9 @@ def mutate(index: Index, upserts: DataFrame | None = None, deletes: DataFrame |
                 g.delete(r["id"])
         return _rows(g, key[0].as_py())
 
-    rows = index.rows.groupBy("shard").cogroup(work.groupBy("shard")).applyInArrow(run, SCHEMA)
-    return Index(config, rows, center)
+    old = index.rows.repartition(shards, "shard").groupBy("shard")
+    rows = old.cogroup(work.repartition(shards, "shard").groupBy("shard")).applyInArrow(run, SCHEMA)
+    return Index(config, rows, center, shards)
 
 
 def _searcher(config: Config, center: list[float] | None, shared, keep, seeds: tuple, rerank: int | None, k: int) -> Callable:  # noqa: ANN001

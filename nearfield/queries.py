@@ -447,10 +447,11 @@ def graph_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("graph_mutate")
 def graph_mutate(spark: SparkSession, sf: str) -> DataFrame:
+    """Two thirds of the table built, the rest inserted, and then a tenth of all ids deleted, old and new."""
     q, v = both(spark, sf)
-    v = v.where("id < 300")
-    index = graph.build(v.where("id < 200"), graph.Config(DIMS, nav_coding="f32", beam=32))
-    index = graph.mutate(index, v.where("id >= 200"), v.where("id % 10 = 3").select("id"))
+    index = graph.build(v.where("id % 3 <> 2"), graph.Config(DIMS, nav_coding="f32", beam=32), rows_a_shard=1000)
+    index = graph.mutate(index, v.where("id % 3 = 2"))
+    index = graph.mutate(index, deletes=v.where("id % 10 = 3").select("id"))
     return graph.search(index, q, K)
 
 
