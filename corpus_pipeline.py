@@ -21,13 +21,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8), that with the smallest id.
+    """One row of each near-duplicate group (five-word shingles, similarity 0.8), that with the smallest id.
 
-    Of rows that share the kept id all stay; a row without an id stays.
+    Groups are of rows: different texts under one id are apart, and repeated rows are copies.  A row without an id stays
+    only if its group has none with one; equal ids go by place in the table.
     """
-    found = setsketch.near_duplicates(docs.select("doc_id", "text"), k=5, least=80)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = setsketch.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, least=80)
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).join(rows.select("_row", "doc_id"), "_row")
+    found = durable(found, "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    best = found.groupBy("_group").agg(first["_row"].alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    gone = found.join(best, "_group").where("_row <> _best").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

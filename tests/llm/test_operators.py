@@ -293,3 +293,14 @@ def test_pipeline(spark, tables, empty):
     check_packing(packed, [(r["doc_id"], r["text"]) for r in mixed.collect()])
     assert C.run(spark, tables).count() == len(packed)
     assert C.run(spark, empty).count() == 0
+
+
+def test_near_dedup_goes_by_row(spark):
+    import corpus_pipeline as C
+
+    one, two = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    other, third = (" ".join(f"{w}{i}" for i in range(30)) for w in "cd")
+    rows = [(1, one), (2, one), (2, two), (3, other), (3, other), (None, other), (None, third), (None, third), (4, ""), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, C.near_dedup(spark, d, "").collect()), key=repr)
+    assert got == sorted([(1, one), (2, two), (3, other), (None, third), (4, ""), (5, None)], key=repr)
