@@ -15,8 +15,14 @@ from nearfield.llm.common import durable
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model gives a language; the model learns from those that aren't held out."""
-    named = langid.identify(docs, langid.trained(docs), pred="_lang", score="_score")
+    """Documents that the model gives a language; the model learns from those that aren't held out.
+
+    Without a labelled document to learn from there is no model, and documents with a letter stay.
+    """
+    model = langid.trained(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    named = langid.identify(docs, model, pred="_lang", score="_score")
     return named.where("_lang <> 'und'").drop("_lang", "_score")
 
 

@@ -304,3 +304,10 @@ def test_near_dedup_goes_by_row(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, C.near_dedup(spark, d, "").collect()), key=repr)
     assert got == sorted([(1, one), (2, two), (3, other), (None, third), (4, ""), (5, None)], key=repr)
+
+
+def test_language_without_labels_keeps_documents(spark):
+    import corpus_pipeline as C
+
+    d = spark.createDataFrame([(1, "some words", None), (2, "\n 12 \nß", None), (3, "12 -", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in C.language(spark, d, "").collect()) == [1, 2]
