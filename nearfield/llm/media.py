@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import durable
@@ -75,22 +75,28 @@ def from_media(media: bytes) -> bytes:
     return media[44:]
 
 
+#: What is computed from a medium that was read back; digests stay binary until a query names them.
+FOUND = "media binary, media_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, mean double, rms double, turns long, chunks int"
+
+
 def features(media: bytes, chunks: int) -> dict:
     data = from_media(media)
     x = np.frombuffer(data, np.uint8).astype(np.float32) - 128
     turns = int(np.count_nonzero(np.signbit(x[1:]) != np.signbit(x[:-1])))
     return {
-        "media_sha256": hashlib.sha256(media).hexdigest(), "media_bytes": len(media), "payload_bytes": len(data),
-        "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-UNIT:]),
-        "feature": f"mean={x.mean(dtype=np.float64):.4f} rms={np.sqrt(np.square(x).mean(dtype=np.float64)):.4f} turns={turns} chunks={chunks}",
+        "media": hashlib.sha256(media).digest(), "media_bytes": len(media), "payload_bytes": len(data),
+        "payload_sha256": hashlib.sha256(data).digest(), "tail_crc32": zlib.crc32(data[-UNIT:]),
+        "mean": float(x.mean(dtype=np.float64)), "rms": float(np.sqrt(np.square(x).mean(dtype=np.float64))), "turns": turns, "chunks": chunks,
     }
 
 
-FEATURES = "media_sha256 string, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+def feature() -> Column:
+    """The features of FOUND as one string."""
+    return F.format_string("mean=%.4f rms=%.4f turns=%d chunks=%d", "mean", "rms", "turns", "chunks")
 
 
 def recipes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media_sha256 and the ordered digests of the media's chunks."""
+    """doc_id, n_bytes, media (SHA-256) and the ordered digests of the media's chunks; null where it is one chunk itself."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -101,15 +107,14 @@ def recipes(docs: DataFrame, text: str = "text") -> DataFrame:
                 n, data = payload(t.as_py())
                 m = to_media(data)
                 ends = cuts(m)
-                sha = hashlib.sha256(m).digest()
-                digests = [sha] if len(ends) == 1 else [hashlib.sha256(m[a:e]).digest() for a, e in zip([0, *ends], ends, strict=False)]
-                rows.append({"doc_id": i, "n_bytes": n, "media_sha256": sha.hex(), "digests": digests})
+                digests = None if len(ends) == 1 else [hashlib.sha256(m[a:e]).digest() for a, e in zip([0, *ends], ends, strict=False)]
+                rows.append({"doc_id": i, "n_bytes": n, "media": hashlib.sha256(m).digest(), "digests": digests})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     import pyarrow as pa
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("digests", pa.list_(pa.binary()))])
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n_bytes long, media_sha256 string, digests array<binary>")
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("digests", pa.list_(pa.binary()))])
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n_bytes long, media binary, digests array<binary>")
 
 
 #: Bounds of the dictionary's sample (documents first by hash, greatest length, bytes of each) and its size.
@@ -135,7 +140,7 @@ def _zstd(trained: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}
 
 
-def chunks(docs: DataFrame, trained: bytes = b"", text: str = "text", level: int = 9) -> DataFrame:
+def chunks(docs: DataFrame, trained: bytes = b"", text: str = "text", level: int = 15) -> DataFrame:
     """digest and compressed bytes of every chunk, once per batch of rows."""
 
     def run(batches: Iterator) -> Iterator:
@@ -164,13 +169,16 @@ def chunks(docs: DataFrame, trained: bytes = b"", text: str = "text", level: int
 
 
 def store(docs: DataFrame, recipe: DataFrame, trained: bytes = b"", text: str = "text") -> DataFrame:
-    """The written chunk store: digest, z, whole (is all of some medium), part (is one chunk of several)."""
-    one = F.size("digests") == 1
-    uses = recipe.select("digests", one.alias("w"), (~one).alias("p")).select(F.explode("digests").alias("digest"), "w", "p")
+    """The written chunk store: digest, z, whole (is all of some medium), part (is one chunk of several).
+
+    Copies of a chunk are dropped by each map task before anything moves, so that a common chunk is no hot key; chunks
+    move once, as the join with the digests in use is on the key they are already dealt by.
+    """
+    one = F.col("digests").isNull()
+    uses = recipe.select(F.explode(F.coalesce("digests", F.array("media"))).alias("digest"), one.alias("w"), (~one).alias("p"))
     uses = uses.groupBy("digest").agg(F.max("w").alias("whole"), F.max("p").alias("part"))
-    held = chunks(docs, trained, text).join(uses, "digest")
-    one = held.groupBy("digest", "whole", "part").agg(F.first("z").alias("z"))
-    return durable(one, "chunks", "none")
+    held = chunks(docs, trained, text).groupBy("digest").agg(F.first("z").alias("z"))
+    return durable(held.join(uses, "digest"), "chunks", "none")
 
 
 def read_back(stored: DataFrame, recipe: DataFrame, trained: bytes = b"") -> DataFrame:
@@ -200,17 +208,18 @@ def read_back(stored: DataFrame, recipe: DataFrame, trained: bytes = b"") -> Dat
 
         t, press = t.sort_by("seq"), opener()
         m = b"".join(unpack(press, d.as_py(), z.as_py()) for d, z in zip(t.column("digest"), t.column("z"), strict=True))
-        if t.num_rows != t.column("n")[0].as_py() or hashlib.sha256(m).hexdigest() != key[0].as_py():
-            raise ValueError(f"medium {key[0].as_py()} can't be rebuilt")
+        if t.num_rows != t.column("n")[0].as_py() or hashlib.sha256(m).digest() != key[0].as_py():
+            raise ValueError(f"medium {key[0].as_py().hex()} can't be rebuilt")
         return pa.Table.from_pylist([features(m, t.num_rows)], schema=arrow)
 
     import pyarrow as pa
 
-    arrow = pa.schema([("media_sha256", pa.string()), ("media_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
-    lists = recipe.where(F.size("digests") > 1).groupBy("media_sha256").agg(F.first("digests").alias("digests"))
-    lists = lists.select("media_sha256", F.size("digests").alias("n"), F.posexplode("digests").alias("seq", "digest"))
-    many = lists.join(stored.where("part").select("digest", "z"), "digest").groupBy("media_sha256").applyInArrow(several, FEATURES)
-    return stored.where("whole").select("digest", "z").mapInArrow(single, FEATURES).union(many)
+    whole, real, raw = pa.int64(), pa.float64(), pa.binary()
+    arrow = pa.schema([("media", raw), ("media_bytes", whole), ("payload_bytes", whole), ("payload_sha256", raw), ("tail_crc32", whole), ("mean", real), ("rms", real), ("turns", whole), ("chunks", pa.int32())])
+    lists = recipe.where("digests is not null").groupBy("media").agg(F.first("digests").alias("digests"))
+    lists = lists.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("seq", "digest"))
+    many = lists.join(stored.where("part").select("digest", "z"), "digest").groupBy("media").applyInArrow(several, FOUND)
+    return stored.where("whole").select("digest", "z").mapInArrow(single, FOUND).union(many)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,5 +227,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     recipe = durable(recipes(docs), "recipes")
     trained = dictionary(docs)
     found = read_back(store(docs, recipe, trained), recipe, trained)
-    out = recipe.select("doc_id", "n_bytes", "media_sha256").join(found, "media_sha256")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = recipe.select("doc_id", "n_bytes", "media").join(found, "media")
+    name = lambda c: F.lower(F.hex(c))
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", name("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes",
+        name("media").alias("media_sha256"), feature().alias("feature"),
+    )
