@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import durable
 
 #: Lower and upper size of a chunk, and the leading hash bits that must be zero at a cut.
-LEAST, MOST, BITS = 8192, 262_144, 16
+LEAST, MOST, BITS = 4096, 65_536, 12
 UNIT, RATE = 64, 8000
 
 
