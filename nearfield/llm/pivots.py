@@ -33,7 +33,7 @@ from nearfield.llm.common import components, durable
 
 #: Least rows of the sample (it is twice the pivots beyond that), most pivots and most of their bytes, pivots for each
 #: root of the vectors, lengths of a description that are tried, share of turned pairs to keep, and rows of a block.
-SAMPLE, PIVOTS, PIVOT_BYTES, PER_ROOT, NEAREST, RECALL, BLOCK = 2048, 8192, 64 << 20, 4, (16, 32), 0.995, 2048
+SAMPLE, PIVOTS, PIVOT_BYTES, PER_ROOT, NEAREST, RECALL, BLOCK = 2048, 8192, 64 << 20, 4, (16, 32), 0.995, 512
 
 
 class Index:
@@ -76,7 +76,7 @@ def farthest_first(rows: np.ndarray, most: int) -> np.ndarray:
     """Up to `most` rows, each the farthest from those before it; equal rows once, and zero rows only if all are."""
     rows = rows[rows.any(1)] if rows.any() else rows[:1]
     kept, worst = [0], rows @ rows[0]
-    while len(kept) < most:
+    while len(kept) < min(most, len(rows)):
         i = int(worst.argmin())
         if worst[i] > 1 - 1e-6:
             break
