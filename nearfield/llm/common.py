@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearfield.plans.durable import durable, scratch_root
 
-__all__ = ["components", "durable", "partitions", "positions", "scratch_root"]
+__all__ = ["components", "durable", "partitions", "positions", "running", "scratch_root"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -17,11 +18,13 @@ def partitions(spark: SparkSession) -> int:
 def positions(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     """df (made durable) with column `name`: each row's gapless position from 0 in the given order.
 
-    One range shuffle; only one row count per partition reaches the driver.  Equal keys get any order.
+    One range shuffle; only one row count per partition reaches the driver.  Equal keys get any order, and may be dealt
+    to several partitions.
     """
     n = max(1, partitions(df.sparkSession))
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    part = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    keys = [*(F.col(c) if isinstance(c, str) else c for c in order), F.col("_tie")]
+    part = df.withColumn("_tie", F.monotonically_increasing_id())
+    part = part.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie")
     part = durable(part.withColumn("_mid", F.monotonically_increasing_id()), "pos")
     sizes = {
         r["p"]: r["n"]
@@ -35,6 +38,27 @@ def positions(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     return part.withColumn(name, at + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid")
 
 
+def running(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """df (made durable) with, by name, the sum of a long column over all rows before a row in the given order.
+
+    Ranges of rows are summed by themselves, so no task holds more than one; only their totals reach the driver.
+    """
+    n = max(1, partitions(df.sparkSession))
+    keys = [*(F.col(c) if isinstance(c, str) else c for c in order), F.col("_tie")]
+    part = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys)
+    part = durable(part.withColumn("_range", F.spark_partition_id()), "sums")
+    totals = {r[0]: r for r in part.groupBy("_range").agg(*[F.sum(c).alias(name) for name, c in sums.items()]).collect()}
+    before = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    for name, c in sums.items():
+        starts, total = [], 0
+        for i in range(max(totals, default=-1) + 1):
+            starts.append(total)
+            total += (totals[i][name] or 0) if i in totals else 0
+        start = F.element_at(F.lit(starts or [0]).cast("array<bigint>"), F.col("_range") + 1)
+        part = part.withColumn(name, start + F.coalesce(F.sum(c).over(before), F.lit(0)))
+    return part.drop("_range", "_tie")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(id, component) of every end of an edge: component is the smallest id reachable.
 

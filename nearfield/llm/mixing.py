@@ -6,8 +6,9 @@ A source's target is then met by whole repetitions of all its documents and a fr
 hash order up to the words still wanted, the last of them in part.
 
 Defined results: a null source is a source of its own and comes last; null and empty texts have size 0 and are taken 0
-times; repeated rows are mixed each; without rows the result is empty.  Documents that tie in the hash order have the
-same id and are told apart by size; equal rows are interchangeable.
+times; every row is mixed by itself, repeated ones too, and rows with null ids as well.  Documents that tie in the hash
+order have the same id and are told apart by size; rows equal in both are interchangeable.  Other columns, whatever their
+names, pass through `mixed`.  Without rows the result is empty.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.llm.common import durable, positions
+from nearfield.llm.common import durable, positions, running
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -30,71 +31,84 @@ def words(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """sizes: source, source_size.  Adds sid (rank of the source, null last) and target.
 
-    Exact integers until the last division.  Each round clamps every source above its limit; only two sums a round
-    reach the driver, and a round clamps at least one source or is the last.
+    Sources are clamped in the order of limit to weight, so one running sum finds the first that the rest of the words,
+    poured by weight, don't overfill; it and all after it are poured.  Exact integers until the last division.
     """
     s = positions(sizes, [F.col("source").asc_nulls_last()], "sid")
     w = F.element_at(F.lit(list(weights)), (F.col("sid") % len(weights) + 1).cast("int")).cast("long")
     s = s.withColumn("weight", w).withColumn("limit", F.col("source_size") * epochs)
-    share = F.lit(False)
-    while True:
-        r = s.agg(
-            F.sum("source_size").alias("all"),
-            F.sum(F.when(share, F.col("limit"))).alias("clamped"),
-            F.sum(F.when(~share, F.col("weight"))).alias("weight"),
-            F.count_if(share).alias("n"),
-        ).first()
-        num, den = (r["all"] or 0) - (r["clamped"] or 0), r["weight"] or 0
-        more = share | (F.col("weight").cast("decimal(38,0)") * F.lit(num) > F.col("limit").cast("decimal(38,0)") * F.lit(den))
-        if not den or s.where(more).count() == r["n"]:
-            break
-        share = more
-    poured = (F.col("weight") * F.lit(num)).cast("double") / F.lit(max(den, 1)).cast("double")
-    return s.select("source", "source_size", "sid", F.when(share, F.col("limit").cast("double")).otherwise(poured).alias("target"))
+    s = running(s, [F.col("limit") / F.col("weight"), "sid"], {"clamped": "limit", "passed": "weight"})
+    whole = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    left, among = F.lit(whole[0] or 0) - F.col("clamped"), F.lit(whole[1] or 0) - F.col("passed")
+    wide = lambda c: c.cast("decimal(38,0)")
+    fits = wide(F.col("weight")) * wide(left) <= wide(F.col("limit")) * wide(among)
+    first = s.where(fits).agg(F.min("passed").alias("at"), F.min_by(left, "passed").alias("left"), F.min_by(among, "passed").alias("among")).first()
+    clamped = F.col("limit").cast("double")
+    poured = (F.col("weight") * F.lit(first["left"])).cast("double") / F.lit(first["among"]).cast("double") if first["among"] else clamped
+    return s.select("source", "source_size", "sid", F.when(F.col("passed") >= F.lit(first["at"]), poured).otherwise(clamped).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """docs: doc_id, size, source.  Returns doc_id, size, source, source_size, target, taken.
+def hashed(rows: DataFrame, seed: str) -> DataFrame:
+    """rows (doc_id and more) with the seeded hash _h and its first 8 and next 12 bits."""
+    rows = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    rows = rows.withColumn("_b1", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    return rows.withColumn("_b2", F.conv(F.substring("_h", 3, 3), 16, 10).cast("int"))
+
+
+def cuts(sized: DataFrame, seed: str, weights: tuple[int, ...], epochs: int) -> DataFrame:
+    """sized: written rows of doc_id, size, source.  One row a source: where its seeded order is cut.
 
-    The cut in a source's seeded order is found without bringing a source together: words are summed by the first 8 bits
-    of the hash, then within the one part that holds the cut by the next 12, and only what shares all 20 bits with
-    the cut is ordered row by row.
+    The cut is found without bringing a source together: words are summed by the first 8 bits of the hash, then within the
+    one part that holds the cut by the next 12.
     """
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = durable(docs.select("doc_id", "size", "source").withColumn("_h", h), "mix")
-    by = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
+    by = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    by = by.withColumn("_whole", whole)
-    left = F.floor(F.col("target") - F.col("_whole") * F.col("source_size") + 0.5).cast("long")
-    by = durable(by.withColumn("_left", left), "mix")
-    d = d.join(by, d["source"].eqNullSafe(by["source"])).drop(by["source"])
-    d = d.withColumn("_b1", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
-    d = durable(d.withColumn("_b2", F.conv(F.substring("_h", 3, 3), 16, 10).cast("int")), "mix")
-
-    def cut(rows: DataFrame, bucket: str, wanted: str) -> DataFrame:
-        """The bucket of each source where its running sum reaches what is wanted, and what is wanted of it."""
+    by = by.withColumn("whole", whole)
+    left = F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long")
+    by = durable(by.withColumn("left", left), "mix")
+
+    def cut(rows: DataFrame, bucket: str, wanted: str, n: int) -> DataFrame:
+        """The part of each source where its running sum reaches what is wanted, and what is wanted of it."""
         sums = rows.groupBy("sid", bucket).agg(F.sum("size").alias("n"), F.max(wanted).alias("w"))
         before = F.sum("n").over(Window.partitionBy("sid").orderBy(bucket)) - F.col("n")
         at = sums.withColumn("before", before).where("before < w and before + n >= w")
-        return at.select("sid", F.col(bucket).alias("_at"), (F.col("w") - F.col("before")).alias("_w"))
-
-    c1 = cut(d, "_b1", "_left")
-    e = d.join(c1.withColumnsRenamed({"_at": "_at1", "_w": "_w1"}), "sid", "left")
-    inside = e.where("_b1 = _at1")
-    c2 = cut(inside, "_b2", "_w1")
-    inside = inside.join(c2.withColumnsRenamed({"_at": "_at2", "_w": "_w2"}), "sid", "left")
-    order = Window.partitionBy("sid").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = inside.where("_b2 = _at2").withColumn("_run", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_w2") - F.col("_run")))
-    out = ["doc_id", "size", "source", "source_size", "target"]
-    taken = lambda x: (F.col("_whole") * F.col("size") + x).cast("long").alias("taken")
-    rough = F.when(F.coalesce(F.col("_b1") < F.col("_at1"), F.lit(False)), F.col("size")).otherwise(0)
-    fine = F.when(F.coalesce(F.col("_b2") < F.col("_at2"), F.lit(False)), F.col("size")).otherwise(0)
-    return (
-        e.where("_at1 is null or _b1 <> _at1").select(*out, taken(rough))
-        .union(inside.where("_at2 is null or _b2 <> _at2").select(*out, taken(fine)))
-        .union(last.select(*out, taken(part)))
-    )
+        return at.select("sid", F.col(bucket).alias(f"at{n}"), (F.col("w") - F.col("before")).alias(f"w{n}"))
+
+    d = hashed(sized, seed)
+    d = d.join(by.select(F.col("source").alias("_source"), "sid", "left"), d["source"].eqNullSafe(F.col("_source")))
+    first = durable(cut(d, "_b1", "left", 1), "mix")
+    inside = d.join(first, "sid").where("_b1 = at1")
+    by = by.join(first, "sid", "left").join(cut(inside, "_b2", "w1", 2), "sid", "left")
+    return durable(by.select(F.col("source").alias("_source"), "sid", "source_size", "target", "whole", "at1", "at2", "w2"), "mix")
+
+
+def mixed(docs: DataFrame, doc_id: Column, size: Column, source: Column, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, sized: DataFrame | None = None) -> DataFrame:
+    """sized: doc_id, size and source of docs, if they are written already.  Columns: doc (a struct of all of docs), doc_id, size, source, source_size, target, taken.
+
+    A row's place before or after its source's cut is read off its own hash; only rows whose 20 bits are the cut's own are
+    put in order, by ranges.  Rows with their texts are joined to one row a source, and otherwise stay where they are.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), doc_id.cast("long").alias("doc_id"), size.alias("size"), source.alias("source"))
+    by = cuts(sized or durable(rows.select("doc_id", "size", "source"), "sizes"), seed, weights, epochs)
+    d = hashed(rows, seed)
+    d = d.join(by, d["source"].eqNullSafe(F.col("_source")))
+    here = F.coalesce((F.col("_b1") == F.col("at1")) & (F.col("_b2") == F.col("at2")), F.lit(False))
+    before = (F.col("_b1") < F.col("at1")) | ((F.col("_b1") == F.col("at1")) & (F.col("_b2") < F.col("at2")))
+    out = ["doc", "doc_id", "size", "source", "source_size", "target"]
+    taken = lambda x: (F.col("whole") * F.col("size") + x).cast("long").alias("taken")
+    last = running(d.where(here), ["sid", "_h", "doc_id", "size"], {"_run": "size"})
+    start = last.groupBy("sid").agg(F.min("_run").alias("_start"))
+    last = last.join(start, "sid")
+    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("w2") - (F.col("_run") - F.col("_start"))))
+    rough = F.when(F.coalesce(before, F.lit(False)), F.col("size")).otherwise(0)
+    return d.where(~here).select(*out, taken(rough)).union(last.select(*out, taken(part)))
+
+
+def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """docs: doc_id, size, source.  Returns doc_id, size, source, source_size, target, taken."""
+    sized = durable(docs.select("doc_id", "size", "source"), "sizes")
+    found = mixed(sized, F.col("doc_id"), F.col("size"), F.col("source"), seed, weights, epochs, sized)
+    return found.select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

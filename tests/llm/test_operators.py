@@ -306,6 +306,70 @@ def test_near_dedup_goes_by_row(spark):
     assert got == sorted([(1, one), (2, two), (3, other), (None, third), (4, ""), (5, None)], key=repr)
 
 
+def test_stages_keep_rows_and_columns_of_any_name(spark):
+    """Names that the stages use themselves, equal rows and null ids: no value is replaced, no row's words are lost."""
+    import corpus_pipeline as C
+
+    names = ["_n", "_k", "_times", "_id", "_size", "_source", "_row", "_group", "_lang", "_score", "row", "doc", "size", "target", "taken", "lang_pred", "score", "times", "sid", "n", "_tie"]
+    some = [" ".join(f"{w}{i}" for i in range(20)) for w in ("ka", "lo", "mi", "nu", "pe")]
+    rows = [(i if i % 3 else None, t, "en" if i % 2 else None, f"s{i % 2}") for i, t in enumerate(some * 8)]
+    d = spark.createDataFrame([(*r, *(f"{n}{k}" for n in names)) for k, r in enumerate(rows)], ", ".join(["doc_id long, text string, lang string, source string", *(f"`{n}` string" for n in names)]))
+    own = {r["_n"]: tuple(r[n] for n in names) for r in d.collect()}
+    named = C.language(spark, d, "").collect()
+    assert len(named) == len(rows) and {r["lang"] for r in named} == {"en"}
+    kept = C.near_dedup(spark, d, "").collect()
+    assert len(kept) == len(some) and all(r["doc_id"] is not None for r in kept)
+    mixed = C.mix(spark, d, "").collect()
+    words = Counter(r["source"] for r in mixed)
+    want = {r["source"]: r["target"] for r in mixing.mix(d.select("doc_id", mixing.words(mixing.F.col("text")).alias("size"), "source")).collect()}
+    for s, n in words.items():
+        assert abs(20 * n - want[s]) <= 20
+    for out in (named, kept, mixed):
+        assert all(tuple(r[n] for n in names) == own[r["_n"]] for r in out)
+        assert all(list(r.asDict()) == d.columns for r in out)
+
+
+def test_mix_of_many_rows_under_one_id(spark):
+    """A third of all rows without an id: their words are cut in one place, exactly."""
+    d = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "id % 7 AS size", "if(id % 5 = 0, 'a', 'b') AS source", "id AS extra")
+    rows = mixing.mix(d).collect()
+    assert len(rows) == 3000 and Counter(r["doc_id"] for r in rows)[None] == 1000
+    for s in "ab":
+        mine = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in mine)
+        whole = mine[0]["target"] // mine[0]["source_size"]
+        assert sum(0 < r["taken"] - whole * r["size"] < r["size"] for r in mine) <= 1
+
+
+def brute_targets(sizes, weights=(5, 2, 1), epochs=3):
+    """Rounds of clamping, as the definition has them."""
+    from fractions import Fraction
+
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    clamped: set = set()
+    while True:
+        left, among = sum(sizes.values()) - epochs * sum(sizes[s] for s in clamped), sum(weight[s] for s in order if s not in clamped)
+        over = {s for s in order if s not in clamped and Fraction(left * weight[s], among) > epochs * sizes[s]}
+        if not over:
+            return {s: epochs * sizes[s] if s in clamped else float(Fraction(left * weight[s], among)) for s in order}
+        clamped |= over
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_against_rounds_of_clamping(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    sizes = {f"s{i}": int(10 ** r.uniform(0, 5)) for i in range(40)} | {None: 17}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = brute_targets(sizes)
+    assert {r["source"] for r in got} == set(want)
+    assert all(r["target"] == pytest.approx(want[r["source"]], rel=1e-12) for r in got)
+    assert any(r["target"] == 3 * r["source_size"] for r in got)
+
+
 def test_language_without_labels_keeps_documents(spark):
     import corpus_pipeline as C
 

@@ -146,27 +146,28 @@ def test_shingles_and_estimates():
     assert np.abs(errors).max() < setsketch.MARGIN
 
 
-def test_block_links_against_brute_force():
+def test_links_against_brute_force():
+    """Link counts by weight and spanning links, inside a block and between two."""
     r = np.random.default_rng(4)
     base = pivots.units(r.normal(size=(6, 16)))
     x = pivots.units(np.repeat(base, 5, 0) + 0.05 * r.normal(size=(30, 16)))
-    p = pivots.spread(pivots.units(r.normal(size=(40, 16))), 20)
-    near = np.argsort(-(x @ p.T), 1)[:, :4]
-    cos = x @ x.T
-    counts = defaultdict(int)
-    edges = set()
-    for pivot in range(len(p)):
-        rows = np.flatnonzero((near == pivot).any(1))
-        if len(rows) > 1:
-            half = len(rows) // 2
-            side = lambda i: (i, np.ones(len(i)), x[i], near[i])  # noqa: E731, B023
-            for c, e in (pivots.block_links(side(rows[:half]), None, pivot, 0.93, 1), pivots.block_links(side(rows[half:]), None, pivot, 0.93, 1), pivots.block_links(side(rows[:half]), side(rows[half:]), pivot, 0.93, 1)):
-                edges |= e
-                for i, n in c.items():
-                    counts[i] += n
-    want = {i: int((cos[i] >= 0.93).sum() - 1) for i in range(30)}
-    assert {i: counts[i] for i in range(30)} == want
-    assert all(cos[a, b] >= 0.93 for a, b in edges)
+    w = r.integers(1, 4, 30).astype(float)
+    ok = x @ x.T >= 0.93
+    np.fill_diagonal(ok, False)
+    counts, edges = defaultdict(int), set()
+    rows = r.permutation(30)
+    a, b = rows[:17], rows[17:]
+    for c, e in (pivots.links(ok[np.ix_(a, a)], a, w[a], None, w[a]), pivots.links(ok[np.ix_(b, b)], b, w[b], None, w[b]), pivots.links(ok[np.ix_(a, b)], a, w[a], b, w[b])):
+        edges |= e
+        for i, n in c.items():
+            counts[i] += n
+    assert {i: counts[i] for i in range(30)} == {i: int(ok[i] @ w) for i in range(30)}
+    assert all(ok[p, q] for p, q in edges) and len(edges) < ok.sum() / 2
+    group = {i: i for i in range(30)}
+    for _ in range(30):
+        for p, q in edges:
+            group[p] = group[q] = min(group[p], group[q])
+    assert all(group[p] == group[q] for p, q in zip(*np.nonzero(ok), strict=True))
 
 
 @settings(max_examples=40, deadline=None)
