@@ -1,8 +1,9 @@
 """Corpus pipeline: language ID, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs.
-All but the last return the columns of docs.  Defined results: documents that language ID rejects are those without a
-letter (null and empty texts among them); mixing repeats and leaves out rows; packing returns op8's columns.
+All but the last return the columns of docs, whatever further columns there are and whatever their names.  Defined
+results: documents that language ID rejects are those without a letter (null and empty texts among them), and those kept
+without a label take the predicted one; mixing repeats and leaves out rows; packing returns op8's columns.
 """
 
 from __future__ import annotations
@@ -14,16 +15,23 @@ from nearfield.llm import langid, mixing, packing, setsketch
 from nearfield.llm.common import durable
 
 
+def whole_row(docs: DataFrame) -> F.Column:
+    """All columns of a row as one, so that no name of a stage's own can clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model gives a language; the model learns from those that aren't held out.
 
-    Without a labelled document to learn from there is no model, and documents with a letter stay.
+    A document without a `lang` takes the predicted one; a label that is there stays.  Without a labelled document to
+    learn from there is no model, and documents with a letter stay as they are.
     """
     model = langid.trained(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    named = langid.identify(docs, model, pred="_lang", score="_score")
-    return named.where("_lang <> 'und'").drop("_lang", "_score")
+    named = langid.identify(docs.select(whole_row(docs), "text"), model).where("lang_pred <> 'und'")
+    lang = F.coalesce(F.col("doc.lang"), F.col("lang_pred"))
+    return named.select(F.col("doc").withField("lang", lang).alias("doc")).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,25 +40,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Groups are of rows: different texts under one id are apart, and repeated rows are copies.  A row without an id stays
     only if its group has none with one; equal ids go by place in the table.
     """
-    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = setsketch.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, least=80)
-    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).join(rows.select("_row", "doc_id"), "_row")
+    rows = durable(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("row")), "rows")
+    found = setsketch.near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"), k=5, least=80)
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).join(rows.select("row", F.col("doc.doc_id").alias("id")), "row")
     found = durable(found, "groups")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    best = found.groupBy("_group").agg(first["_row"].alias("_best"), F.count("*").alias("_n")).where("_n > 1")
-    gone = found.join(best, "_group").where("_row <> _best").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
+    best = found.groupBy("group").agg(first["row"].alias("best"), F.count("*").alias("n")).where("n > 1")
+    gone = found.join(best, "group").where("row <> best").select("row")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; the one that a source takes in part counts from a half up."""
-    sized = docs.select("doc_id", mixing.words(F.col("text")).alias("size"), "source")
-    taken = durable(mixing.mix(sized).groupBy("doc_id", "size", "source").agg(F.min("taken").alias("taken")), "taken")
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("_times")
-    t = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), times).where("_times > 0")
-    d = docs.withColumn("_n", mixing.words(F.col("text")))
-    d = d.join(t, d["doc_id"].eqNullSafe(t["_id"]) & d["source"].eqNullSafe(t["_source"]) & (d["_n"] == t["_size"]))
-    return d.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Every row as often as the mix takes it; the one that a source takes in part counts from a half up."""
+    found = mixing.mixed(docs, F.col("doc_id"), mixing.words(F.col("text")), F.col("source"))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    found = found.select("doc", times.alias("times")).where("times > 0")
+    return found.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
