@@ -3,8 +3,10 @@
 For every language a tree of byte contexts of orders 0 to 3 is counted on a bounded sample of labelled rows and then
 frozen.  A byte that the longest known context has seen costs -log2(n / (n + d)) bits, n being the context's count and d
 the number of its different followers; otherwise an escape of -log2(d / (n + d)) bits is paid and the next shorter
-context is asked, down to a uniform 1/256.  The exact code length of a text under each tree decides.  The trees are
-flattened into one automaton (longest context of any language -> row of costs), so that scoring is array lookups.
+context is asked, down to a uniform 1/256.  The exact code length of a text under each tree decides.  Small trees are
+flattened into one automaton (longest context of any language -> row of costs), so that scoring is array lookups; larger
+ones stay sorted lists of counted contexts, which are searched once for every different four bytes of a batch.  Both
+give the same code lengths, and no context is left out.
 
 Defined results: null text, empty text and text without a letter give `und` and score 0; ties go to the language first
 by name; with no labelled row at all every text is `und`; repeated rows are scored each; other columns pass through.
@@ -21,23 +23,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from nearfield.llm.common import partitions
+
 ORDER = 3
 
 
+@dataclass
+class Tree:
+    """One language's contexts: by order, codes and counts of grams, and of each context its total and different followers."""
+
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
 @dataclass
 class Model:
     langs: list[str]
     code: np.ndarray  # byte -> symbol, 0 for bytes never seen
     size: int  # symbols
-    state: np.ndarray  # three symbols -> longest known context
-    cost: np.ndarray  # (state * size + symbol, language) -> bits; a last row of zeros
+    trees: list[Tree]
+    state: np.ndarray | None = None  # three symbols -> longest known context; None: the trees are searched
+    cost: np.ndarray | None = None  # (state * size + symbol, language) -> bits; a last row of zeros
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key in sorted keys, and whether it is there."""
+    at = np.searchsorted(keys, wanted)
+    there = at < len(keys)
+    there[there] = keys[at[there]] == wanted[there]
+    return at, there
+
+
+def gram_bits(tree: Tree, grams: np.ndarray, a: int, order: int = ORDER) -> np.ndarray:
+    """Bits of the last symbol of each gram after the `order` symbols before it, from the shortest context up."""
+    p = np.full(len(grams), 1 / 256)
+    for k in range(order + 1):
+        keys, total, kinds = tree.contexts[k]
+        at, known = _find(keys, grams // a % a**k)
+        at = at[known]
+        place, seen = _find(tree.grams[k][0], grams[known] % a ** (k + 1))
+        count = np.where(seen, tree.grams[k][1][np.where(seen, place, 0)], 0) if len(place) else place
+        whole = total[at] + kinds[at]
+        p[known] = np.where(count > 0, count / whole, p[known] * (kinds[at] / whole))
+    return -np.log2(p)
 
 
 def fit(texts: dict[str, list[bytes]], cells: int = 12_000_000) -> Model:
-    """texts: whole labelled texts by language.  cells: bound on costs kept; the rarest order-3 contexts go beyond it."""
+    """texts: whole labelled texts by language.  cells: costs that an automaton may hold; larger models are searched."""
     langs = sorted(texts)
     if not langs:
-        return Model([], np.zeros(256, np.int32), 1, np.zeros(1, np.int32), np.zeros((2, 1), np.float32))
+        return Model([], np.zeros(256, np.int32), 1, [])
     seen = np.zeros(256, bool)
     seen[32] = True
     for t in (t for x in texts.values() for t in x):
@@ -45,78 +80,52 @@ def fit(texts: dict[str, list[bytes]], cells: int = 12_000_000) -> Model:
     code = np.zeros(256, np.int64)
     code[seen] = np.arange(1, seen.sum() + 1)
     a = int(seen.sum()) + 1
-    flat = {g: [code[np.frombuffer(b"   " + t, np.uint8)] for t in texts[g]] for g in langs}
-
-    def grams(g: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and counts of n symbols of which the last is in the text itself."""
-        rows = []
-        for x in flat[g]:
-            k, at = len(x) - 3, np.zeros(max(0, len(x) - 3), np.int64)
-            for j in range(n):
-                at = at * a + x[3 - n + 1 + j : 3 - n + 1 + j + k]
-            rows.append(at)
-        return np.unique(np.concatenate(rows), return_counts=True) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-    def mixed(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total, kinds = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p = np.where(n > 0, n / (total + kinds), lower * (kinds / (total + kinds)))
-        return np.where(total > 0, p, lower)
-
-    counted = {(g, n): grams(g, n) for g in langs for n in range(1, ORDER + 2)}
-    known: list[np.ndarray] = [np.zeros(1, np.int64)]  # contexts by order
-    for k in range(1, ORDER + 1):
-        ctx = [counted[g, k + 1][0] // a for g in langs]
-        n = [counted[g, k + 1][1] for g in langs]
-        both, at = np.unique(np.concatenate(ctx), return_inverse=True)
-        total = np.bincount(at, np.concatenate(n), len(both))
-        room = max(0, cells // (a * max(1, len(langs))) - sum(map(len, known)))
-        if len(both) > room:
-            both = np.sort(both[np.lexsort((both, -total))[:room]])
-        known.append(both)
+
+    def tree(own: list[bytes]) -> Tree:
+        flat = [code[np.frombuffer(b"   " + t, np.uint8)] for t in own]
+        grams, contexts = [], []
+        for n in range(1, ORDER + 2):  # n symbols of which the last is in the text itself
+            rows = []
+            for x in flat:
+                k, at = len(x) - 3, np.zeros(len(x) - 3, np.int64)
+                for j in range(n):
+                    at = at * a + x[3 - n + 1 + j : 3 - n + 1 + j + k]
+                rows.append(at)
+            g, count = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+            keys, first, kinds = np.unique(g // a, return_index=True, return_counts=True)
+            grams.append((g, count))
+            contexts.append((keys, np.add.reduceat(count, first) if len(first) else first, kinds))
+        return Tree(grams, contexts)
+
+    trees = [tree(texts[g]) for g in langs]
+    known = [np.unique(np.concatenate([t.contexts[k][0] for t in trees])) for k in range(ORDER + 1)]
+    known[0] = np.zeros(1, np.int64)
+    model = Model(langs, code.astype(np.int32), a, trees)
+    if sum(map(len, known)) * a * len(langs) <= cells:
+        model.state, model.cost = _automaton(trees, known, a)
+        model.trees = []
+    return model
+
+
+def _automaton(trees: list[Tree], known: list[np.ndarray], a: int) -> tuple[np.ndarray, np.ndarray]:
+    """known: sorted contexts of any language by order.  A context that a language lacks costs what its suffix does."""
     first = np.cumsum([0, *map(len, known)])
-    cost = np.zeros((first[-1] * a + 1, max(1, len(langs))), np.float32)
-    for j, g in enumerate(langs):
-        prob: list[np.ndarray] = [np.full((1, a), 1 / 256)]
+    cost = np.zeros((first[-1] * a + 1, len(trees)), np.float32)
+    for j, t in enumerate(trees):
         for k in range(ORDER + 1):
-            ctx = known[k]
-            n = np.zeros((len(ctx), a))
-            c, m = counted[g, k + 1]
-            row = np.searchsorted(ctx, c // a) if len(ctx) else np.zeros(len(c), np.int64)
-            ok = row < len(ctx)
-            ok[ok] = ctx[row[ok]] == c[ok] // a
-            n[row[ok], c[ok] % a] = m[ok]
-            if k == 0:
-                lower = prob[0]
-            else:  # the longest known proper suffix
-                lower = np.empty((len(ctx), a))
-                left = np.ones(len(ctx), bool)
-                for q in range(k - 1, -1, -1):
-                    suffix = ctx % a**q
-                    at = np.searchsorted(known[q], suffix)
-                    hit = left & (at < len(known[q]))
-                    hit[hit] = known[q][at[hit]] == suffix[hit]
-                    lower[hit] = prob[q + 1][at[hit]]
-                    left &= ~hit
-            prob.append(mixed(n, lower))
-        cost[:-1, j] = -np.log2(np.concatenate(prob[1:]).ravel())
+            grams = (known[k][:, None] * a + np.arange(a)).ravel()
+            cost[first[k] * a : first[k + 1] * a, j] = gram_bits(t, grams, a, k)
     state = np.zeros((a, a, a), np.int32)
     for k in range(1, ORDER + 1):
         c = known[k]
-        at = [c // a**i % a for i in range(k - 1, -1, -1)]
-        ids = np.arange(first[k], first[k] + len(c), dtype=np.int32)
-        if k == 1:
-            state[:, :, at[0]] = ids
-        elif k == 2:
-            state[:, at[0], at[1]] = ids
-        else:
-            state[at[0], at[1], at[2]] = ids
-    return Model(langs, code.astype(np.int32), a, state.ravel(), cost)
+        at = tuple(c // a**i % a for i in range(k - 1, -1, -1))
+        state[(..., *at)] = np.arange(first[k], first[k] + len(c), dtype=np.int32)
+    return state.ravel(), cost
 
 
 def code_lengths(model: Model, texts: list[bytes], chunk: int = 1 << 20) -> np.ndarray:
     """(text, language) -> bits of the whole text.  Works on at most `chunk` bytes (or one piece of a text) at a time."""
-    out = np.zeros((len(texts), model.cost.shape[1]))
+    out = np.zeros((len(texts), len(model.langs)))
     run: list[bytes] = []
     whose: list[int] = []
     have = 0
@@ -126,11 +135,16 @@ def code_lengths(model: Model, texts: list[bytes], chunk: int = 1 << 20) -> np.n
         if run:
             x = model.code[np.frombuffer(b"".join(run), np.uint8)]
             at = (x[:-3] * model.size + x[1:-2]) * model.size + x[2:-1]
-            at = model.state[at].astype(np.int64) * model.size + x[3:]
+            if model.cost is not None:
+                cost, at = model.cost, model.state[at].astype(np.int64) * model.size + x[3:]
+            else:
+                grams, at = np.unique(at.astype(np.int64) * model.size + x[3:], return_inverse=True)
+                cost = np.stack([*(gram_bits(t, grams, model.size) for t in model.trees)], axis=1)
+                cost = np.concatenate([cost, np.zeros((1, cost.shape[1]))])
             starts = np.cumsum([0, *map(len, run)])[:-1]
             for d in (-3, -2, -1):  # the three bytes of history before a piece cost nothing
-                at[starts[1:] + d + 0] = len(model.cost) - 1
-            bits = np.add.reduceat(model.cost[at], starts, axis=0, dtype=np.float64)
+                at[starts[1:] + d + 0] = len(cost) - 1
+            bits = np.add.reduceat(cost[at], starts, axis=0, dtype=np.float64)
             np.add.at(out, whose, bits)
         run.clear(), whose.clear()
         have = 0
@@ -164,15 +178,21 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
 def sample(labelled: DataFrame, docs_per_lang: int = 400, most_chars: int = 65_536) -> dict[str, list[bytes]]:
     """Whole labelled texts by language: the docs_per_lang first by hash of doc_id, but for those over most_chars.
 
-    This is the bound on what reaches the driver.  labelled: doc_id, text, lang (not null).  The ids are ranked
-    without the texts; only the chosen rows' texts are read.
+    This is the bound on what reaches the driver: rows, also where ids repeat.  labelled: doc_id, text, lang (not null).
+    The ids are ranked without the texts, in as many parts a language as there are shuffle partitions and then over what
+    the parts keep; only the chosen ids' texts are read.
     """
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = labelled.where("lang is not null").select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("_h"))
-    picked = [r[0] for r in ids.withColumn("_r", F.row_number().over(order)).where(f"_r <= {docs_per_lang}").select("doc_id").distinct().collect()]
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(partitions(labelled.sparkSession)))
+    ids = labelled.where("lang is not null").select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("_h"), part.alias("_part"))
+    for by in (["lang", "_part"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy("_h", "doc_id")
+        ids = ids.withColumn("_r", F.row_number().over(order)).where(f"_r <= {docs_per_lang}")
+    picked = [r[0] for r in ids.select("doc_id").distinct().collect()]
     out: dict[str, list[bytes]] = {}
     if picked:
         rows = labelled.where(F.col("doc_id").isin(picked) & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
+        order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text"))
+        rows = rows.withColumn("_r", F.row_number().over(order)).where(f"_r <= {docs_per_lang}")
         for r in sorted(rows.select("lang", "doc_id", "text").collect(), key=lambda r: (r[0], r[1], r[2])):
             out.setdefault(r["lang"], []).append(r["text"].encode())
     return out

@@ -1,6 +1,7 @@
 """Training-data operators on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -79,6 +80,64 @@ def test_language(spark, tables):
         assert 0 <= rows[i]["score"] <= 1
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_language_of_held_out_documents(spark):
+    """The label of every document is found from its text; held-out labels are never looked at."""
+    sf = "/root/testdata/sf0.01"
+    label = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in langid.op1(spark, sf).collect() if r["held_out"] and label[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert len(rows) > 200
+    assert sum(r["lang_pred"] == label[r["doc_id"]] for r in rows) >= 0.99 * len(rows)
+
+
+def brute_language(texts, t):
+    """Smallest code length by counting contexts in dictionaries, and its share of the probability."""
+    import math
+
+    bits = {}
+    for g, own in texts.items():
+        seen = defaultdict(Counter)
+        for x in own:
+            y = b"   " + x
+            for i in range(3, len(y)):
+                for k in range(4):
+                    seen[y[i - k : i], k][y[i]] += 1
+        y, bits[g] = b"   " + t, 0.0
+        for i in range(3, len(y)):
+            p = 1.0
+            for k in (3, 2, 1, 0):
+                if c := seen.get((y[i - k : i], k)):
+                    whole = sum(c.values()) + len(c)
+                    if c[y[i]]:
+                        p *= c[y[i]] / whole
+                        break
+                    p *= len(c) / whole
+            else:
+                p /= 256
+            bits[g] -= math.log2(p)
+    best = min(sorted(bits), key=bits.get)
+    return best, 1 / sum(2.0 ** max(-1000.0, bits[best] - b) for b in bits.values())
+
+
+def test_language_against_brute_force(spark, tables):
+    learned = defaultdict(list)
+    for r in docs(spark, tables).collect():
+        if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            learned[r["lang"]].append(r["text"].encode())
+    rows = {r["doc_id"]: r for r in langid.op1(spark, tables).collect()}
+    for i, t in enumerate(texts()):
+        if any(map(str.isalpha, t or "")) and len(t) < 6000:
+            lang, score = brute_language(learned, t.encode())
+            assert rows[i]["lang_pred"] == lang and rows[i]["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    d = spark.range(500).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text", "if(id % 5 = 0, 'a', 'b') AS lang")
+    got = langid.sample(d, docs_per_lang=7)
+    assert {g: len(x) for g, x in got.items()} == {"a": 7, "b": 7}
+    assert langid.sample(d, docs_per_lang=7) == got
+
+
 def test_mix_properties(spark, tables):
     d = docs(spark, tables).select("doc_id", mixing.words(mixing.F.col("text")).alias("size"), "source")
     rows = mixing.mix(d).collect()
@@ -93,12 +152,46 @@ def test_mix_properties(spark, tables):
 
 
 def test_media(spark, tables):
+    """Against a file written by the standard library, and features in plain Python; chunks from the store's own lists."""
+    import io
+    import math
+    import wave
+
+    d = docs(spark, tables)
+    recipe = common.durable(media.recipes(d))
+    trained = media.dictionary(d)
+    stored = {r["digest"]: r for r in media.store(d, recipe, trained).collect()}
+    lists = {r["media"].hex(): r["digests"] for r in recipe.collect()}
+    assert any(lists.values())
+    assert set(stored) == {x for m, y in lists.items() for x in (y or [bytes.fromhex(m)])}
+    assert any(r["part"] for r in stored.values()) and any(r["whole"] for r in stored.values())
     rows = media.op3(spark, tables).collect()
     assert len(rows) == len(texts()) + 1
     for r in rows:
-        n, data = media.payload(texts()[r["doc_id"]])
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (n, len(data), hashlib.sha256(data).hexdigest())
-        assert r["tail_crc32"] == zlib.crc32(data[-64:]) and r["media_bytes"] == len(data) + 44
+        raw = (texts()[r["doc_id"]] or "").encode()
+        data = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest())
+        file = io.BytesIO()
+        with wave.open(file, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(media.RATE), w.writeframes(data)
+        made = file.getvalue()
+        assert (r["media_bytes"], r["media_sha256"]) == (len(made), hashlib.sha256(made).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(data[-64:])
+        x = [b - 128 for b in data]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        n = len(lists[r["media_sha256"]] or "1")
+        assert r["feature"] == f"mean={sum(x) / len(x):.4f} rms={math.sqrt(sum(b * b for b in x) / len(x)):.4f} turns={turns} chunks={n}"
+
+
+def test_media_with_a_lost_or_wrong_chunk(spark, tables):
+    d = docs(spark, tables)
+    recipe = common.durable(media.recipes(d))
+    stored = media.store(d, recipe)
+    with pytest.raises(Exception, match="can't be rebuilt"):
+        media.read_back(stored.where("whole").union(stored.where("not whole").orderBy("digest").offset(1)), recipe).collect()
+    with pytest.raises(Exception, match="does not match its digest"):
+        wrong = stored.withColumn("digest", media.F.expr("if(whole, overlay(digest placing X'00' from 1), digest)"))
+        media.read_back(wrong, recipe).collect()
 
 
 def test_near_vectors(spark, tables):

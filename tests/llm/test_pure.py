@@ -52,9 +52,12 @@ def brute_bits(texts, t):
     return total
 
 
-def test_code_lengths_are_exact():
-    texts = {"en": [b"the cat sat on the mat", b"a dog and the cat"], "de": ["der Hund saß und die Maus lief".encode()]}
-    m = langid.fit(texts)
+@pytest.mark.parametrize("cells", [0, 12_000_000])
+def test_code_lengths_are_exact(cells):
+    """Of the automaton, and of trees that are too large for one and are searched."""
+    texts = {"en": [b"the cat sat on the mat", b"a dog and the cat", b""], "de": ["der Hund saß und die Maus lief".encode()], "xx": [b""]}
+    m = langid.fit(texts, cells)
+    assert (m.cost is None) == (cells == 0)
     probe = [b"the dog sat", "ÿ日本".encode(), b"die", b"x"]
     for chunk in (3, 1 << 20):
         got = langid.code_lengths(m, probe, chunk)
@@ -62,8 +65,21 @@ def test_code_lengths_are_exact():
         assert np.allclose(got, want, rtol=1e-5)
     assert langid.predict(m, [None, "", "123 %%", "the cat"])[0] == ["und", "und", "und", "en"]
     assert langid.predict(langid.fit({}), ["the"]) == (["und"], [0.0])
-    small = langid.fit(texts, cells=10)
-    assert np.isfinite(langid.code_lengths(small, probe)).all()
+
+
+def test_hundred_languages_keep_all_contexts():
+    """More costs than an automaton may hold: nothing is left out, and every language is told apart."""
+    r = random.Random(5)
+    texts, probe = {}, {}
+    for i in range(100):
+        words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzäöüß", k=r.randrange(2, 9))) for _ in range(60)]
+        texts[f"l{i:02}"] = [" ".join(r.choices(words, k=300)).encode()]
+        probe[f"l{i:02}"] = " ".join(r.choices(words, k=30))
+    m = langid.fit(texts)
+    assert m.cost is None
+    assert langid.predict(m, list(probe.values()))[0] == list(probe)
+    t = next(iter(probe.values())).encode()
+    assert np.allclose(langid.code_lengths(m, [t])[0, :2], [brute_bits(texts[g], t) for g in m.langs[:2]])
 
 
 @pytest.mark.parametrize("n", [1, 5, 128, 129, 131_072, 131_073])
