@@ -7,8 +7,11 @@ the second holds the keys of the whole corpus that pass the first without being
 pass the second; and so on until a level lets nothing wrong through.  Over this key universe the answer of the cascade
 is exact, so membership needs no join: the filters are literals in the plan.
 
-The number of listed keys is checked (`most`), and so is that of each level's false positives: where a level has more than
-`most`, the first filter is made larger and built again.  Defined results: null urls and urls without `://` have empty host
+Every verdict has a cascade of its own, so the rule's verdict is membership too.  Filters are literals of checked size:
+longer lists than `most` keys are dealt to parts by hash, and the pages pass over one part's cascades after the other.  The
+keys that pass a first level are written once; where they are more than `most`, that level is made larger and built again.
+
+rules: (host, path, verdict) as tuples or as a DataFrame with these columns.  Defined results: null urls and urls without `://` have empty host
 and path; an empty host fits no rule; equal rules count once, and of rules with one key `block` wins; repeated rows
 are judged each; no rows, no result.  A url that no rule fits gets the default verdict.
 """
@@ -21,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import durable
+
 #: Fixed values of the contract: host, path, verdict.
 RULES = (
     ("org", "/", "allow"),
@@ -74,7 +79,7 @@ class Level:
         return cls(words, hashes, salt)
 
     def has(self, key: Column) -> Column:
-        array = F.lit(self.words).cast("array<bigint>")
+        array = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to one literal
         test = lambda at: F.getbit(F.element_at(array, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1
         return reduce(lambda x, y: x & y, [test(at) for at in self.bits(key, 64 * len(self.words), self.hashes, self.salt)])
 
@@ -84,35 +89,30 @@ def _size(n: int, bits: float) -> int:
 
 
 class Cascade:
-    """Exact membership of listed keys among all keys of `universe`."""
+    """Exact membership of listed keys among all keys of a universe."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame, bits: float = 12, later_bits: float = 8, most: int = 100_000) -> None:
-        """listed, universe: key.  Neither is joined; membership in the list while building is a literal set."""
-        names = [r[0] for r in listed.distinct().limit(most + 1).collect()]
-        if len(names) > most:
-            raise ValueError(f"more than {most} listed keys")
+        """listed, universe: key.  Only the few keys that pass the first level are held against the list."""
         self.levels: list[Level] = []
-        if not names:
-            return
-        is_listed = F.col("key").isin(names)
-        spark = listed.sparkSession
-        inside = spark.range(1).select(F.explode(F.lit(names)).alias("key"))
-        outside = universe.where(~is_listed)
+        listed = durable(listed.distinct(), "listed")
+        n = listed.count()
+        if n > most:
+            raise ValueError(f"{n} listed keys: deal them to parts")
         salt = 1
-        while True:
-            first = Level.build(inside, _size(len(names), bits), max(1, round(bits * math.log(2))), salt)
-            wrong = outside.where(first.has(F.col("key"))).select("key").distinct()
+        while n:
+            first = Level.build(listed, _size(n, bits), max(1, round(bits * math.log(2))), salt)
+            wrong = durable(universe.where(first.has(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti"), "wrong")
             n = wrong.count()
             if n <= most:
+                self.levels.append(first)
                 break
-            bits += 6
-        self.levels.append(first)
-        right = inside
+            n, bits = listed.count(), bits + 6
+        right = listed
         while n:  # wrong: keys that pass every level so far but should not
             salt += 2
             level = Level.build(wrong, _size(n, later_bits), max(1, round(later_bits * math.log(2))), salt)
             self.levels.append(level)
-            right, wrong = wrong, right.where(level.has(F.col("key"))).select("key").distinct()
+            right, wrong = wrong, durable(right.where(level.has(F.col("key"))).select("key").distinct(), "wrong")
             n = wrong.count()
 
     def has(self, key: Column) -> Column:
@@ -123,23 +123,41 @@ class Cascade:
         return out
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, default: str = "allow", url: str = "url", bits: float = 12) -> DataFrame:
+#: Verdicts that rules may have: each costs a cascade, and a scan of the urls to build it.
+VERDICTS = 16
+
+
+def judge(pages: DataFrame, rules: tuple | DataFrame = RULES, default: str = "allow", url: str = "url", bits: float = 12, most: int = 100_000) -> DataFrame:
     """pages with host, path, rule, verdict (which replace any of these names)."""
     spark = pages.sparkSession
-    verdicts: dict[str, str] = {}
-    for h, p, v in sorted(rules, key=lambda r: r[2]):
-        verdicts[h + p] = v
-    lengths = sorted({len(p) for _, p, _ in rules}, reverse=True)
-    host, path = host_path(F.col(url))
-    every = keys(host, path, lengths) if rules else F.array().cast("array<string>")
-    listed = spark.range(1).select(F.explode(F.lit(list(verdicts)) if verdicts else F.array().cast("array<string>")).alias("key"))
-    cascade = Cascade(listed, pages.select(F.explode(every).alias("key")), bits)
-    rule = F.get(F.filter(every, cascade.has), F.lit(0))
-    pairs = [F.lit(x) for kv in verdicts.items() for x in kv]
-    verdict = F.coalesce(F.create_map(*pairs)[F.col("rule")], F.lit(default)) if pairs else F.lit(default)
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    key = F.concat("host", "path")
+    given = durable(rules.groupBy(key.alias("key")).agg(F.max("verdict").alias("verdict"), F.collect_set(F.length("path")).alias("lengths")), "rules")
+    about = given.agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("lengths")))).alias("lengths"), F.count_distinct("verdict").alias("v")).first()
+    if about["v"] > VERDICTS:
+        raise ValueError(f"{about['v']} different verdicts; at most {VERDICTS}")
     names = {"host", "path", "rule", "verdict"}
-    out = pages.select(*[c for c in pages.columns if c not in names], host.alias("host"), path.alias("path"), rule.alias("rule"))
-    return out.withColumn("verdict", verdict)
+    own = [F.col(f"`{c}`") for c in pages.columns if c not in names]
+    host, path = host_path(F.col(f"`{url}`"))
+    every = keys(host, path, about["lengths"][::-1])
+    out = pages.select(F.struct(*own).alias("page"), host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), every.alias("keys"))
+    parts = max(1, -(-about["n"] // most))
+    at = F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(parts))
+    for part in range(parts if about["n"] else 0):
+        mine = given.where(at == part)
+        universe = pages.select(F.explode(every).alias("key")).where(at == part)
+        cascades = {r[0]: Cascade(mine.where(F.col("verdict") == r[0]).select("key"), universe, bits, most=most) for r in mine.select("verdict").distinct().orderBy("verdict").collect()}
+        here = lambda x: F.pmod(F.xxhash64(F.lit(7), x), F.lit(parts)) == part  # noqa: B023, E731
+        any_ = lambda x: reduce(lambda a, b: a | b, [c.has(x) for c in cascades.values()], F.lit(False))  # noqa: B023, E731
+        found = F.get(F.filter("keys", (lambda x: here(x) & any_(x)) if parts > 1 else any_), F.lit(0))
+        out = out.withColumn("new", found)
+        better = F.coalesce(F.length("new") > F.length("rule"), F.col("new").isNotNull() & F.col("rule").isNull())
+        said = reduce(lambda c, v: c.when(cascades[v].has(F.col("new")), v), cascades, F.when(F.lit(False), F.lit("")))
+        out = out.withColumn("verdict", F.when(better, said).otherwise(F.col("verdict"))).withColumn("rule", F.when(better, F.col("new")).otherwise(F.col("rule")))
+        if parts > 1:
+            out = durable(out.drop("new"), "judged")
+    return out.select("page.*" if own else F.lit(1), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
