@@ -5,12 +5,14 @@ of 2**17 ids is coded by itself as 128 interleaved 64-bit states over one stream
 states and the place in the stream) at the start and middle of a block let its halves be decoded at once; a CRC-32
 guards the ids of every block.  Segments are rows of a Parquet table that Spark commits, in ascending doc_id order.
 
-Segment bytes, little-endian: magic `NFR1`, u32 ids, u32 documents, u32 table bytes, zlib table (u32 symbols, then
-delta-coded u32 ids and u32 frequencies), u64 doc ids, u32 lengths, then blocks: u32 ids, u32 crc32, u32 words,
+Segment bytes, little-endian: magic `NFR2`, u32 ids, u32 documents, u32 table bytes, zlib table (u32 symbols, then
+delta-coded u32 ids and u32 frequencies), a bit for every document (set where it has no id, padded to bytes), i64 doc ids
+(0 without one), u32 lengths, then blocks: u32 ids, u32 crc32, u32 words,
 u32 checkpoints, per checkpoint u32 step, u32 words before it and 128 u64 states, then the words.
 
 Defined results: a null or empty text is the end id alone; rows with equal or null ids come in any order among themselves
-(null first); a very long text is a segment of its own; no rows, no segments.
+(null first) and may be dealt to several parts; a very long text is a segment of its own; other columns are left out; no
+rows, no segments.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from nearfield.llm.tokens import END, encoder
 LANES, SCALE, BLOCK, STEP = 128, 18, 1 << 17, 512
 SEGMENT = 1 << 22
 LOW = np.uint64(1 << 31)
-NULL_ID = -(2**63)
 
 
 def normalised(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -72,7 +73,7 @@ def _encode(sym: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> list[tuple[np
     return out
 
 
-def encode_segment(ids: np.ndarray, doc_ids: list[int], lengths: list[int]) -> bytes:
+def encode_segment(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
     if ids.max(initial=0) < 1 << 22:
         counts = np.bincount(ids)
         symbols = np.flatnonzero(counts)
@@ -85,7 +86,9 @@ def encode_segment(ids: np.ndarray, doc_ids: list[int], lengths: list[int]) -> b
     freq = normalised(counts)
     cum = np.cumsum(freq) - freq
     table = zlib.compress(struct.pack("<I", len(symbols)) + np.diff(symbols, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 6)
-    out = [b"NFR1", struct.pack("<3I", len(ids), len(doc_ids), len(table)), table, np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<u4").tobytes()]
+    none = np.array([i is None for i in doc_ids], bool)
+    named = np.array([i or 0 for i in doc_ids], "<i8")
+    out = [b"NFR2", struct.pack("<3I", len(ids), len(doc_ids), len(table)), table, np.packbits(none).tobytes(), named.tobytes(), np.array(lengths, "<u4").tobytes()]
     f, c = freq.astype(np.uint64), cum.astype(np.uint64)
     full = len(ids) // BLOCK
     coded = _encode(sym[: full * BLOCK].reshape(full, BLOCK // LANES, LANES), f, c) if full else []
@@ -101,9 +104,9 @@ def encode_segment(ids: np.ndarray, doc_ids: list[int], lengths: list[int]) -> b
     return b"".join(out)
 
 
-def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, doc ids and lengths.  All halves of blocks are decoded at once; a wrong checksum is an error."""
-    if data[:4] != b"NFR1":
+def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, doc ids, which of these are none, and lengths.  All halves of blocks are decoded at once; a wrong checksum is an error."""
+    if data[:4] != b"NFR2":
         raise ValueError("not a segment")
     n, docs, size = struct.unpack_from("<3I", data, 4)
     at = 16 + size
@@ -113,6 +116,8 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     freq = np.frombuffer(table, "<u4", k, 4 + 4 * k).astype(np.uint64)
     cum = np.cumsum(freq) - freq
     slots = np.repeat(np.arange(k), freq.astype(np.int64))
+    none = np.unpackbits(np.frombuffer(data, np.uint8, -(-docs // 8), at), count=docs).astype(bool)
+    at += -(-docs // 8)
     doc_ids = np.frombuffer(data, "<i8", docs, at)
     lengths = np.frombuffer(data, "<u4", docs, at + 8 * docs)
     at += 12 * docs
@@ -165,29 +170,33 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     if len(ids) != n or lengths.sum() != n:
         raise ValueError("a segment is cut off")
-    return ids, doc_ids, lengths
+    return ids, doc_ids, none, lengths
 
 
 def write(docs: DataFrame, path: str | None = None, text: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """Written segments of all documents in ascending doc_id order: part, seq, n_ids, data.  path: the tokenizer's file."""
+    """Written segments of all documents in ascending doc_id order: part, start (ids of the part before it), n_ids, data.
+
+    path: the tokenizer's file.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         enc = encoder(path)
-        ids, doc_ids, lengths, have = [], [], [], 0
+        ids, doc_ids, lengths, have, start = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, doc_ids, lengths, have
+            nonlocal ids, doc_ids, lengths, have, start
             data = encode_segment(np.frombuffer(b"".join(ids), "<u4"), doc_ids, lengths)
-            out = pa.RecordBatch.from_arrays([pa.array([have], pa.int64()), pa.array([data], pa.binary())], names=["n_ids", "data"])
+            out = pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([have], pa.int64()), pa.array([data], pa.binary())], names=["start", "n_ids", "data"])
+            start += have
             ids, doc_ids, lengths, have = [], [], [], 0
             return out
 
         for b in batches:
             for i, raw in zip(b.column(0).to_pylist(), enc.each(t.as_py() for t in b.column(1)), strict=True):
                 ids.append(raw + END)
-                doc_ids.append(NULL_ID if i is None else i)
+                doc_ids.append(i)
                 lengths.append(len(raw) // 4 + 1)
                 have += lengths[-1]
                 if have >= segment:
@@ -195,37 +204,36 @@ def write(docs: DataFrame, path: str | None = None, text: str = "text", segment:
         if have:
             yield flush()
 
-    d = docs.select(F.col("doc_id").cast("long"), text)
-    d = d.repartitionByRange(max(1, partitions(docs.sparkSession)), "doc_id").sortWithinPartitions("doc_id")
-    coded = d.mapInArrow(run, "n_ids long, data binary")
-    return durable(coded.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "ids", "none")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    d = d.repartitionByRange(max(1, partitions(docs.sparkSession)), "doc_id", "tie").sortWithinPartitions("doc_id")
+    coded = d.select("doc_id", "text").mapInArrow(run, "start long, n_ids long, data binary")
+    return durable(coded.withColumn("part", F.spark_partition_id()), "ids", "none")
 
 
 def read(segments: DataFrame) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, ids_crc32, in any order.  One number a segment reaches the driver."""
-    starts, total = [], 0
-    for r in segments.select("seq", "n_ids").orderBy("seq").collect():
-        starts.append((r["seq"], total))
-        total += r["n_ids"]
-    spark = segments.sparkSession
-    known = spark.sparkContext.broadcast(dict(starts))
+    """Per document: doc_id, start, n_tokens, ids_crc32, in any order.  One number a part reaches the driver."""
+    sizes = {r["part"]: r["n"] for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    first = F.element_at(F.lit(before or [0]).cast("array<bigint>"), F.col("part") + 1)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            for seq, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids, doc_ids, lengths = decode_segment(data.as_py())
+            for start, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids, doc_ids, none, lengths = decode_segment(data.as_py())
                 ends = np.cumsum(lengths, dtype=np.int64)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                ok = doc_ids != NULL_ID
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64(), mask=~ok), pa.array(ends - lengths + known.value[seq]), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
+                    [pa.array(doc_ids, pa.int64(), mask=none), pa.array(ends - lengths + start), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return segments.select("seq", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select((F.col("start") + first).alias("start"), "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ Archives are tables of (archive, record) whose `record` bytes, in order, are a W
 store and commits them even if executors are lost.  `files()` reads plain or gzipped WARC files.
 
 Defined results: null and empty html is an empty payload; a null page_id is a response with a null id; null urls are written as `urn:none`; equal rows are
-records of their own, all responses if one is, and come back as often; rows of one id with other html are told apart; very long bodies are many segments;
-no rows, no records.
+records of their own with ids of their own, all responses if one is, and come back as often; rows of one id with other html or
+another url are told apart; very long bodies are many segments; other columns are left out; no rows, no records.
 """
 
 from __future__ import annotations
@@ -32,9 +32,13 @@ DEDUP, SEGMENT, CHUNKED, FRAME = 1000, 16_384, 8_192, 4_096
 DATE = "2024-01-01T00:00:00Z"
 
 
-def urn(page_id: int | None, tag: str, segment: int = 1) -> str:
-    """tag tells rows of one id with different payloads apart."""
-    return f"<urn:x-page:{page_id}:{tag}>" if segment == 1 else f"<urn:x-page:{page_id}:{tag}/{segment}>"
+#: Copies of equal rows that one task writes at a time.
+COPIES = 64
+
+
+def urn(page_id: int | None, tag: str, copy: int = 0, segment: int = 1) -> str:
+    """tag tells rows of one id with different payloads or urls apart, copy the equal ones."""
+    return f"<urn:x-page:{page_id}:{tag}{f'.{copy}' if copy else ''}{f'/{segment}' if segment > 1 else ''}>"
 
 
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -71,8 +75,8 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def write_page(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, tag: str = "0", segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page, in order."""
+def write_page(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, tag: str = "0", to_tag: str = "0", copy: int = 0, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page, in order.  to_tag: tag of the page that is referred to."""
     body = (html or "").encode()
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:none"
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
@@ -80,21 +84,21 @@ def write_page(page_id: int | None, url: str | None, html: str | None, refers_to
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
         block = http + b"Content-Length: %d\r\n\r\n" % len(body)
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", urn(page_id, tag)), *common, digest, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", urn(refers_to, tag)), ("Content-Type", "application/http; msgtype=response")], block)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", urn(page_id, tag, copy)), *common, digest, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", urn(refers_to, to_tag)), ("Content-Type", "application/http; msgtype=response")], block)
         return
     if len(body) > CHUNKED:
         block = http + b"Transfer-Encoding: chunked\r\n\r\n" + frame(body)
     else:
         block = http + b"Content-Length: %d\r\n\r\n" % len(body) + body
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
-    first = [("WARC-Type", "response"), ("WARC-Record-ID", urn(page_id, tag)), *common, digest, ("Content-Type", "application/http; msgtype=response")]
+    first = [("WARC-Type", "response"), ("WARC-Record-ID", urn(page_id, tag, copy)), *common, digest, ("Content-Type", "application/http; msgtype=response")]
     if len(parts) == 1:
         yield record([*first, ("WARC-Block-Digest", _sha1(block))], block)
         return
     yield record([*first, ("WARC-Segment-Number", "1")], parts[0])
     for n, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if n == len(parts) else []
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", urn(page_id, tag, n)), *common, ("WARC-Segment-Origin-ID", urn(page_id, tag)), ("WARC-Segment-Number", str(n)), *last], part)
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", urn(page_id, tag, copy, n)), *common, ("WARC-Segment-Origin-ID", urn(page_id, tag, copy)), ("WARC-Segment-Number", str(n)), *last], part)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -123,11 +127,20 @@ def payload(block: bytes) -> tuple[bytes, dict[str, str]]:
 
 def write(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """pages: page_id, url, html.  The written archives: archive int, seq long, record binary."""
-    p = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("_key", F.sha1(F.coalesce("html", F.lit(""))))
-    p = p.withColumn("_n", F.octet_length(F.coalesce("html", F.lit(""))))
-    first = p.where(f"_n >= {DEDUP}").groupBy("_key").agg(F.max("page_id").alias("_first"), F.count("*").alias("_c"))
-    p = p.join(first.where("_c > 1").select("_key", "_first"), "_key", "left")
-    p = p.withColumn("_to", F.when(F.col("_first") != F.col("page_id"), F.col("_first")))
+    p = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("key", F.sha1(F.coalesce("html", F.lit(""))))
+    p = p.withColumn("n", F.octet_length(F.coalesce("html", F.lit(""))))
+    # Of each payload: which page has the largest id, and whether there are equal rows at all.
+    each = p.groupBy("key", "page_id", "url").agg(F.count("*").alias("c"))
+    about = each.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("top"), (F.max("c") > 1).alias("repeated"))
+    p = p.join(about, "key").withColumn("to", F.when((F.col("n") >= DEDUP) & (F.col("top.page_id") != F.col("page_id")), F.col("top.page_id")))
+    tag = lambda url: F.concat(F.substring("key", 1, 16), F.lit("-"), F.lower(F.hex(F.crc32(F.coalesce(url, F.lit(""))))))
+    p = p.withColumn("tag", tag(F.col("url"))).withColumn("to_tag", tag(F.col("top.url")))
+    cols = ["page_id", "url", "html", "to", "tag", "to_tag", "start", "copies"]
+    one = p.where("not repeated").select(*cols[:-2], F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("copies"))
+    # Equal rows become one with a count, which is written in runs of COPIES by many tasks.
+    many = p.where("repeated").groupBy("key", "page_id", "url", "to", "tag", "to_tag").agg(F.first("html").alias("html"), F.count("*").alias("c"))
+    many = many.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(COPIES).cast("long"))))
+    many = many.withColumn("copies", F.least(F.lit(COPIES), F.col("c") - F.col("start"))).select(*cols).repartition("page_id", "tag", "start")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -135,17 +148,18 @@ def write(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
         for b in batches:
             out: tuple = ([], [])
             held = 0
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for n, r in enumerate(write_page(*row, segment=segment)):
-                    out[0].append(n)
-                    out[1].append(r)
-                    held += len(r)
-                if held > 16_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["seq", "record"])
-                    out, held = ([], []), 0
+            for *row, start, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for copy in range(start, start + copies):
+                    for n, r in enumerate(write_page(*row, copy=copy, segment=segment)):
+                        out[0].append(n)
+                        out[1].append(r)
+                        held += len(r)
+                    if held > 16_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["seq", "record"])
+                        out, held = ([], []), 0
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["seq", "record"])
 
-    rows = p.select("page_id", "url", "html", "_to", F.substring("_key", 1, 16)).mapInArrow(run, "seq int, record binary")
+    rows = one.union(many).mapInArrow(run, "seq int, record binary")
     return durable(rows.withColumn("archive", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "warc")
 
 

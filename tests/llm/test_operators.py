@@ -234,6 +234,16 @@ def test_token_files(spark, tables):
             at += len(i)
 
 
+def test_token_files_with_null_and_extreme_ids(spark):
+    """Most rows share an id or have none; the smallest integer is an id like others."""
+    rows = [(None, f"n {i}") for i in range(40)] + [(5, f"five {i}") for i in range(40)] + [(-(2**63), "low"), (2**63 - 1, None)]
+    d = spark.createDataFrame([(*r, 0, 1) for r in rows], "doc_id long, text string, start int, tie int")
+    got = sorted(ans.read(ans.write(d, segment=50)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 40 + [-(2**63)] + [5] * 40 + [2**63 - 1]
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((i, len(x := ids_of(t)), zlib.crc32(x.tobytes())) for i, t in rows)
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False)) and got[0]["start"] == 0
+
+
 def test_warc_files(spark, tables, tmp_path):
     a = warc.write(spark.read.parquet(f"{tables}/pages.parquet"), segment=1000)
     data = b"".join(r["record"] for r in a.orderBy("at").collect())
@@ -248,6 +258,22 @@ def test_warc_files(spark, tables, tmp_path):
         assert r["payload"] is None or r["payload"] == (html[i] or "").encode()
 
 
+def test_warc_records_of_equal_rows(spark):
+    """Every record has an id of its own, every revisit refers to a record that is there, also where rows repeat."""
+    big, small = "<p>" + "ab " * 9000, "tiny"
+    rows = [(1, "http://a", big)] * 150 + [(2, "http://a", big)] * 3 + [(2, "http://b", big), (1, "http://c", big), (3, None, small), (3, None, small), (4, "u", "q" * 1500), (None, "u", big), (None, "u", big)]
+    d = spark.createDataFrame([(*r, "k", 7, 1) for r in rows], "page_id long, url string, html string, key string, n int, copies int")
+    a = warc.write(d, segment=4000)
+    heads = [h for r in a.collect() for h, _ in warc.parse(r["record"])]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(ids) == len(set(ids))
+    assert {h["warc-refers-to"] for h in heads if "warc-refers-to" in h} <= {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    found = warc.read(a).collect()
+    got = Counter((r["type"], re.search(r"page:(\w+):", r["id"])[1], r["payload_digest"]) for r in found)
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert got == {("revisit", "1", sha(big)): 151, ("response", "2", sha(big)): 4, ("response", "3", sha(small)): 2, ("response", "4", sha("q" * 1500)): 1, ("response", "None", sha(big)): 2}
+
+
 def brute_groups(rows, k, least):
     sets = {i: s for i, t in rows if (s := shingle_set(t, k))}
     seen: dict = {i: i for i, _ in rows}

@@ -85,9 +85,9 @@ def test_hundred_languages_keep_all_contexts():
 @pytest.mark.parametrize("n", [1, 5, 128, 129, 131_072, 131_073])
 def test_rans_round_trip(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.2, n), 50_256).astype(np.uint32)
-    data = ans.encode_segment(ids, [7, 8], [n - n // 2, n // 2])
-    got, docs, lengths = ans.decode_segment(data)
-    assert (got == ids).all() and docs.tolist() == [7, 8] and lengths.sum() == n
+    data = ans.encode_segment(ids, [-(2**63), None, 8], [n - n // 2, 0, n // 2])
+    got, docs, none, lengths = ans.decode_segment(data)
+    assert (got == ids).all() and docs.tolist() == [-(2**63), 0, 8] and none.tolist() == [False, True, False] and lengths.sum() == n
     broken = bytearray(data)
     broken[-2] ^= 1
     with pytest.raises((ValueError, zlib.error, IndexError)):
