@@ -8,8 +8,9 @@ maximum-likelihood estimate from the registers passes over hopeless ones, and ev
 
 Equal sets are one class.  Confirmation goes in two steps, so that large groups never need all their pairs: first every
 class against the smallest id of each of its bands; then, in bands that still hold several components, classes of
-different components against each other, in blocks that hold the texts: a pair is looked at in the first band it shares
-only, what a block has linked is one component from then on, and only links that join components leave it.
+different components against each other, in blocks: registers alone tell which rows of a block have a hopeful partner in
+it, and only these rows' texts are fetched.  A pair is looked at in the first band it shares only, what a block has linked
+is one component from then on, and only links that join components leave it.
 
 Shingles are named by 64-bit hashes and equal sets by two 64-bit sums of these.  Defined results: null, empty and blank
 texts have an empty set and link with nothing; a row with a null id is returned alone with a null component; rows that
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import components, durable
 
 REGISTERS, BAND, BASE, RATE, TOP = 128, 4, 1.001, 20.0, 65_534
-BLOCK = 1024
+BLOCK = 256
 _RNG = np.random.Generator(np.random.PCG64(20_240_501))
 _BYTE = _RNG.integers(1, 2**64, 256, np.uint64)
 _ODD = _RNG.integers(0, 2**31, REGISTERS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -155,8 +156,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame
     """Those of pairs (a, b) with 100 * intersection >= least * union, by full sets.  texts: id, text."""
     want = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     mine = durable(texts.join(want, "id", "left_semi"), "texts")
-    both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(mine.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    # The leaf's text first: the center's, which many pairs share, is then joined without moving once for each.
+    both = pairs.join(mine.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    both = both.join(mine.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -165,10 +167,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                y = y.as_py()
-                if last[0] != y:
-                    last = (y, shingles(y, k))
-                s, t = shingles(x.as_py(), k), last[1]
+                x = x.as_py()
+                if last[0] != x:
+                    last = (x, shingles(x, k))
+                s, t = last[1], shingles(y.as_py(), k)
                 inter = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(inter > 0 and 100 * inter >= least * (len(s) + len(t) - inter))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -232,61 +234,90 @@ def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(hit)[ends - 1]]))
 
 
+class Pairs:
+    """The rows of a pair of blocks and which of their pairs are still hopeful, judged by registers and set sizes."""
+
+    def __init__(self, key: tuple, t, least: int) -> None:  # noqa: ANN001
+        self.least, self.inside, self.band = least, key[1].as_py() == key[2].as_py(), t.column("band")[0].as_py()
+        c, self.ids, self.n, comp = (t.column(x).to_numpy() for x in ("c", "id", "n", "component"))
+        self.comp = comp.copy()
+        self.regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        self.left, self.right = np.flatnonzero(c == key[1].as_py()), np.flatnonzero(c == key[2].as_py())
+
+    def partners(self, r: int) -> np.ndarray:
+        ids, n, regs, other = self.ids, self.n, self.regs, self.right
+        other = other[(ids[other] > ids[r]) if self.inside else (ids[other] != ids[r])]
+        other = other[self.comp[other] != self.comp[r]]
+        other = other[100 * np.minimum(n[other], n[r]) >= self.least * np.maximum(n[other], n[r])]
+        if len(other):
+            bands_ = regs.view(np.uint64)
+            other = other[(bands_[other] == bands_[r]).argmax(1) == self.band]
+        if len(other):  # registers agree about as often as J
+            other = other[(regs[other] == regs[r]).sum(1) >= REGISTERS * (self.least / 100 - MARGIN)]
+        if len(other):
+            est = estimate(np.broadcast_to(regs[r], (len(other), REGISTERS)), np.full(len(other), n[r]), regs[other], n[other])
+            other = other[est >= self.least / 100 - MARGIN]
+        return other
+
+
 def residual(b: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, k: int, least: int, block: int = BLOCK) -> DataFrame:
     """Confirmed links (a, b) of classes that share a band but were in different components: enough to join all that links."""
     at = b.join(comp.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("m"))
-    at = durable(at.join(mixed.where("x < y").select("key", "m"), "key").select("key", "band", "id", "component", "m"), "mixed")
-    mine = texts.join(at.select("id").distinct(), "id", "left_semi")
-    at = at.withColumn("c", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    ij = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
-    full = mine.join(classes.select("id", "n", "regs"), "id").join(at.withColumn("ij", F.explode(ij)), "id")
-    full = full.select("key", "ij.i", "ij.j", "band", "c", "id", "n", "component", "regs", "text")
+    # A band of over a block: rows of its largest component need not meet each other.  They are dealt to `own` blocks that
+    # follow the `other` blocks of the rest, and go to each pair with one of those; the rest meet all.
+    sizes = at.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    few = F.col("n") <= block
+    sizes = sizes.where("parts > 1").select("key", F.when(~few, F.col("most.component")).alias("large"), F.when(few, 0).otherwise(blocks(F.col("most.n"))).alias("own"), F.when(few, 1).otherwise(blocks(F.col("n") - F.col("most.n"))).alias("other"))
+    at = durable(at.join(sizes, "key").select("key", "band", "id", "component", "large", "own", "other"), "mixed")
+    large, h = F.coalesce(F.col("component") == F.col("large"), F.lit(False)), F.xxhash64("id")
+    at = at.withColumn("c", F.when(large, F.col("other") + F.pmod(h, F.col("own"))).otherwise(F.pmod(h, F.col("other"))).cast("int"))
+    every = F.sequence(F.lit(0), F.col("other") + F.when(large, F.lit(0)).otherwise(F.col("own")) - 1)
+    ij = F.transform(every, lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
+    full = classes.select("id", "n", "regs").join(at.withColumn("ij", F.explode(ij)), "id")
+    full = full.select("key", "ij.i", "ij.j", "band", "c", "id", "n", "component", "regs")
+
+    def hopeful_rows(key, t):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        p, live = Pairs(key, t, least), set()
+        for r in p.left.tolist():
+            other = p.partners(r).tolist()
+            if other:
+                live.update((r, *other))
+        return t.take(pa.array(sorted(live), pa.int64())).select(kept)
 
     def compare(key, t):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        i, j, band = key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py()
-        c, ids, n, comp = (t.column(x).to_numpy() for x in ("c", "id", "n", "component"))
-        comp = comp.copy()
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        bands_ = regs.view(np.uint64)
-        text, sets = t.column("text"), {}
+        p, text, sets = Pairs(key, t, least), t.column("text"), {}
+        out: list[tuple[int, int]] = []
 
         def shingled(r: int) -> np.ndarray:
             if r not in sets:
                 sets[r] = shingles(text[r].as_py(), k)
             return sets[r]
 
-        left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
-        out: list[tuple[int, int]] = []
-        for r in left.tolist():
-            other = right[(ids[right] > ids[r]) if i == j else (ids[right] != ids[r])]
-            other = other[comp[other] != comp[r]]
-            other = other[100 * np.minimum(n[other], n[r]) >= least * np.maximum(n[other], n[r])]
-            if len(other):
-                same = bands_[other] == bands_[r]
-                other = other[same.argmax(1) == band]
-            if len(other):  # registers agree about as often as J
-                other = other[(regs[other] == regs[r]).sum(1) >= REGISTERS * (least / 100 - MARGIN)]
-            if len(other):
-                est = estimate(np.broadcast_to(regs[r], (len(other), REGISTERS)), np.full(len(other), n[r]), regs[other], n[other])
-                other = other[est >= least / 100 - MARGIN]
+        for r in p.left.tolist():
+            other = p.partners(r)
             for s in range(0, len(other), 64):
                 some = other[s : s + 64]
-                some = some[comp[some] != comp[r]]
+                some = some[p.comp[some] != p.comp[r]]
                 if not len(some):
                     continue
                 own = shingled(r)
                 sizes = np.array([len(shingled(o)) for o in some.tolist()])
                 both = shared_counts(own, [shingled(o) for o in some.tolist()])
                 for o in some[(both > 0) & (100 * both >= least * (len(own) + sizes - both))].tolist():
-                    if comp[o] != comp[r]:
-                        out.append((int(ids[r]), int(ids[o])))
-                        comp[comp == comp[o]] = comp[r]
+                    if p.comp[o] != p.comp[r]:
+                        out.append((int(p.ids[r]), int(p.ids[o])))
+                        p.comp[p.comp == p.comp[o]] = p.comp[r]
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    kept = ["key", "i", "j", "band", "c", "id", "n", "component", "regs"]
+    live = full.groupBy("key", "i", "j").applyInArrow(hopeful_rows, "key long, i int, j int, band int, c int, id long, n long, component long, regs binary")
+    live = durable(live, "hopeful").join(texts, "id")
+    return live.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,6 +307,27 @@ def test_near_documents(spark, tables, k, least):
         assert (r["n_shingles"], r["component_id"]) == (sizes[r["doc_id"]], groups[r["doc_id"]])
 
 
+def test_bands_of_several_components_in_small_blocks(spark, monkeypatch):
+    """Chains of near copies, whose ends are far apart: no link is lost, however small the blocks are."""
+    import random
+
+    r = random.Random(8)
+    rows, n = [], 0
+    for _ in range(3):
+        words = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        for _ in range(40):
+            words = words[:]
+            words[r.randrange(60)] = f"w{r.randrange(10**6)}"
+            rows.append((n, " ".join(words)))
+            n += 1
+    r.shuffle(rows)
+    groups, _ = brute_groups(rows, 3, 85)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(setsketch.residual, "__defaults__", (3,))
+    got = {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(d, 3, 85).collect()}
+    assert got == groups
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = dict(map(tuple, common.components(spark.createDataFrame(e, "a long, b long")).collect()))
