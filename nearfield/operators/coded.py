@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from nearfield.functions.coding import coding
+from nearfield.functions.coding import Coding, coding
 from nearfield.functions.rotation import Rotation
 from nearfield.functions.similarity import distance
-from nearfield.plans.blocks import codes, collect_blocks, matrix
+from nearfield.plans.blocks import against_all, codes, matrix
 from nearfield.plans.topk import top_k
 
 
@@ -59,48 +61,43 @@ def rotate(vecs: DataFrame, dims: int, seed: int = 42, back: bool = False) -> Da
     return vecs.select("id", "vec").mapInArrow(run, "id long, vec array<float>")
 
 
+class Nearest:
+    """The k nearest codes of all added so far, and how many were scored in full, for each of some queries."""
+
+    def __init__(self, qid: np.ndarray, qs: np.ndarray, k: int, coder: Coding, symmetric: bool, self_free: bool) -> None:
+        self.qid, self.qs, self.k, self.coder, self.self_free = qid, qs, k, coder, self_free
+        self.own = coder.encode(qs) if symmetric and len(qs) else None
+        self.d, self.i = np.empty((len(qid), 0)), np.empty((len(qid), 0), np.int64)
+        self.looked = np.zeros(len(qid), np.int64)
+
+    def add(self, ids: np.ndarray, column: Any) -> None:  # noqa: ANN401
+        rows, k = codes(column), self.k
+        most = np.sort(self.d, 1)[:, k - 1] if self.d.shape[1] >= k else np.full(len(self.qid), np.inf)
+        d, full = (self.coder.symmetric(self.own, rows), np.ones((len(self.qid), len(rows)), bool)) if self.own is not None else self.coder.bounded(self.qs, rows, most)
+        self.looked += full.sum(1)
+        if self.self_free:
+            d = np.where(self.qid[:, None] == ids[None, :], np.inf, d)
+        d, i = np.concatenate([self.d, d], 1), np.concatenate([self.i, np.broadcast_to(ids, d.shape)], 1)
+        order = np.lexsort((i, d), axis=1)[:, :k]
+        self.d, self.i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+    def rows(self) -> Any:  # noqa: ANN401
+        import pyarrow as pa
+
+        ok = np.isfinite(self.d)
+        qid = np.broadcast_to(self.qid[:, None], ok.shape)[ok]
+        seen = np.zeros(ok.shape, np.int64)
+        seen[:, :1] = self.looked[:, None]
+        return pa.table([pa.array(qid), pa.array(self.i[ok]), pa.array(self.d[ok]), pa.array(seen[ok])], names=["qid", "id", "distance", "looked"])
+
+
 def search(queries: DataFrame, coded: DataFrame, k: int, name: str, dims: int, similarity: str = "l2", center: list[float] | None = None, symmetric: bool = False, self_free: bool = False) -> DataFrame:
     """queries: id, vec; coded: id, code.  qid, rank, id, distance (of the code), and looked (documents scored in full).
 
     Within a task the k-th best distance so far bounds what codings with a cheap first estimate look at in full.
     """
-    parts = None
-    for ids, q in collect_blocks(queries, "id", "vec"):
-        shared = coded.sparkSession.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator, shared=shared) -> Iterator:  # noqa: ANN001
-            import pyarrow as pa
-
-            qid, qs = shared.value
-            c = coding(name, dims, similarity, center)
-            own = c.encode(qs) if symmetric else None
-            d0, i0 = np.empty((len(qid), 0)), np.empty((len(qid), 0), np.int64)
-            looked = np.zeros(len(qid), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                rows, ids_ = codes(b.column(1)), b.column(0).to_numpy()
-                most = np.sort(d0, 1)[:, k - 1] if d0.shape[1] >= k else np.full(len(qid), np.inf)
-                d, full = (c.symmetric(own, rows), np.ones((len(qid), len(rows)), bool)) if symmetric else c.bounded(qs, rows, most)
-                looked += full.sum(1)
-                if self_free:
-                    d = np.where(qid[:, None] == ids_[None, :], np.inf, d)
-                d0, i0 = np.concatenate([d0, d], 1), np.concatenate([i0, np.broadcast_to(ids_, d.shape)], 1)
-                order = np.lexsort((i0, d0), axis=1)[:, :k]
-                d0, i0 = np.take_along_axis(d0, order, 1), np.take_along_axis(i0, order, 1)
-            ok = np.isfinite(d0)
-            wide = lambda v: np.broadcast_to(v[:, None], ok.shape)[ok]
-            first = np.zeros(ok.shape, bool)
-            first[:, :1] = True
-            seen = np.where(first, looked[:, None], 0)[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(wide(qid)), pa.array(i0[ok]), pa.array(d0[ok]), pa.array(seen)], names=["qid", "id", "distance", "looked"])
-
-        part = coded.select("id", "code").mapInArrow(run, "qid long, id long, distance double, looked long")
-        parts = part if parts is None else parts.union(part)
-    if parts is None:
-        return coded.sparkSession.createDataFrame([], "qid long, rank int, id long, distance double, looked long")
-    from pyspark.sql.window import Window
-
+    make = lambda ids, q: Nearest(ids, q, k, coding(name, dims, similarity, center), symmetric, self_free)
+    parts = against_all(queries, coded, "code", make, "qid long, id long, distance double, looked long")
     total = parts.withColumn("looked", F.sum("looked").over(Window.partitionBy("qid")))
     return top_k(total, k).select("qid", "rank", "id", "distance", "looked")
 

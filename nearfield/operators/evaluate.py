@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.coding import coding
-from nearfield.plans.blocks import collect_blocks, matrix
+from nearfield.functions.coding import Coding, coding
+from nearfield.functions.similarity import block
+from nearfield.plans.blocks import against_all, matrix
 
 
 def recall(results: DataFrame, truth: DataFrame, k: int, cut: bool = False) -> DataFrame:
@@ -59,31 +61,44 @@ def coding_loss(vecs: DataFrame, name: str, dims: int, center: list[float] | Non
     return rows.agg(F.sum("a").alias("abs_error"), F.sum("e").alias("error"), F.avg("n").alias("magnitude"), (F.sum("a") / F.sum("m")).alias("abs_ratio"), (F.sum("e") / F.sum("n")).alias("error_ratio"))
 
 
+class Errors:
+    """Sums over the errors of coded distances: of all pairs, or with `limit`, how many are within it."""
+
+    def __init__(self, qs: np.ndarray, coder: Coding, similarity: str, quantized: bool, limit: float | None) -> None:
+        self.qs, self.coder, self.similarity, self.quantized, self.limit = qs, coder, similarity, quantized, limit
+        self.n, self.absolute, self.squares, self.within = 0, 0.0, 0.0, 0
+
+    def add(self, _: np.ndarray, column: Any) -> None:  # noqa: ANN401
+        x = matrix(column)
+        codes = self.coder.encode(x)
+        d = self.coder.symmetric(self.coder.encode(self.qs), codes) if self.quantized else self.coder.query(self.qs, codes)
+        e = np.abs(d - block(self.qs.astype(float), x.astype(float), self.similarity))
+        self.n, self.absolute, self.squares = self.n + e.size, self.absolute + float(e.sum()), self.squares + float(np.square(e).sum())
+        if self.limit is not None:
+            self.within += int((e <= self.limit).sum())
+
+    def rows(self) -> Any:  # noqa: ANN401
+        import pyarrow as pa
+
+        return pa.table({"n": [self.n], "absolute": [self.absolute], "squares": [self.squares], "within": [self.within]})
+
+
 def distance_loss(queries: DataFrame, docs: DataFrame, name: str, dims: int, similarity: str = "l2", center: list[float] | None = None, quantized: bool = False) -> DataFrame:
-    """One row over all pairs: n, mae, mse, and the share of errors within 1.96 * 2 root mean squares."""
-    from nearfield.functions.similarity import block
-
-    parts = None
-    for _, q in collect_blocks(queries, "id", "vec"):
-        shared = docs.sparkSession.sparkContext.broadcast(q)
-
-        def run(batches: Iterator, shared=shared) -> Iterator:  # noqa: ANN001
-            import pyarrow as pa
-
-            c = coding(name, dims, similarity, center)
-            for b in batches:
-                if b.num_rows:
-                    x = matrix(b.column(0))
-                    codes = c.encode(x)
-                    d = c.symmetric(c.encode(shared.value), codes) if quantized else c.query(shared.value, codes)
-                    e = (d - block(shared.value.astype(float), x.astype(float), similarity)).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(e)], names=["e"])
-
-        part = docs.select("vec").mapInArrow(run, "e double")
-        parts = part if parts is None else parts.union(part)
-    mse = F.avg(F.col("e") * F.col("e"))
-    total = parts.agg(mse.alias("mse"))
-    return parts.crossJoin(F.broadcast(total)).agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.first("mse").alias("mse"), F.avg((F.abs("e") <= 1.96 * 2 * F.sqrt("mse")).cast("double")).alias("within"))
+    """One row over all pairs: n, mae, mse, and the share of errors within 1.96 * 2 root mean squares.
+
+    Tasks give sums, never pairs: a first pass for the mean square, a second counts what is within.
+    """
+
+    def sums(limit: float | None) -> DataFrame:
+        make = lambda _, q: Errors(q, coding(name, dims, similarity, center), similarity, quantized, limit)
+        parts = against_all(queries, docs, "vec", make, "n long, absolute double, squares double, within long")
+        return parts.agg(F.sum("n").alias("n"), F.sum("absolute").alias("absolute"), F.sum("squares").alias("squares"), F.sum("within").alias("within"))
+
+    first = sums(None).first()
+    if not first["n"]:
+        return queries.sparkSession.createDataFrame([(0, None, None, None)], "n long, mae double, mse double, within double")
+    mse = first["squares"] / first["n"]
+    return sums(1.96 * 2 * mse**0.5).select("n", (F.col("absolute") / F.col("n")).alias("mae"), F.lit(mse).alias("mse"), (F.col("within") / F.col("n")).alias("within"))
 
 
 def coding_recall(queries: DataFrame, docs: DataFrame, truth: DataFrame, k: int, k_mult: int, name: str, dims: int, similarity: str = "l2", centers: int = 0) -> DataFrame:

@@ -1,20 +1,20 @@
 """Exhaustive search and ground truth.
 
-search() multiplies blocks of queries with batches of documents in Python workers, scores every row that may be among the
+search() multiplies blocks of queries with blocks of documents in Python workers, scores every row that may be among the
 k by the bound of that product again in double from left to right, keeps k of each task by (distance, id), and merges them
 by a window; pairs() scores given pairs in the JVM alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import similarity as sim
-from nearfield.plans.blocks import collect_blocks, matrix
+from nearfield.plans.blocks import against_all, matrix
 from nearfield.plans.topk import top_k
 
 FOUND = "qid long, id long, distance double"
@@ -78,33 +78,34 @@ def _first(q: np.ndarray, d: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndar
     return q[keep], d[keep], i[keep]
 
 
-def _scan(docs: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, similarity: str, self_free: bool) -> DataFrame:
-    """The k nearest rows of every task, for every query."""
-    shared = docs.sparkSession.sparkContext.broadcast((ids, q))
-
-    def run(batches: Iterator) -> Iterator:
+class Nearest:
+    """The k nearest of all rows added so far, for each of some queries."""
+
+    def __init__(self, qid: np.ndarray, qs: np.ndarray, k: int, kind: str, self_free: bool) -> None:
+        self.qid, self.qs, self.k, self.kind, self.self_free = qid, qs, k, kind, self_free
+        self.best = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.most = np.full(len(qid), np.inf)  # no row beyond is among the k
+
+    def add(self, ids: np.ndarray, column: Any) -> None:  # noqa: ANN401
+        x, k, most = matrix(column), self.k, self.most
+        for at in range(0, len(x), ROWS):
+            part, own = x[at : at + ROWS], ids[at : at + ROWS]
+            d, off = _rough(self.qs, part, self.kind)
+            free = self.qid[:, None] != own[None, :] if self.self_free else np.ones(d.shape, bool)
+            if len(part) >= k:
+                high = np.where(free & ~np.isnan(d), d + off, np.inf)
+                most = np.minimum(most, np.partition(high, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero(free & ~(d - off > most[:, None]))
+            self.best = _first(*(np.concatenate(y) for y in zip(self.best, (i, _exact(self.qs, part, i, j, self.kind), own[j]), strict=True)), k)
+            full = np.flatnonzero(np.bincount(self.best[0], minlength=len(self.qid)) == k)
+            last = self.best[1][np.searchsorted(self.best[0], full, "right") - 1]
+            most[full] = np.fmin(most[full], last)
+        self.most = most
+
+    def rows(self) -> Any:  # noqa: ANN401
         import pyarrow as pa
 
-        qid, qs = shared.value
-        best = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-        most = np.full(len(qid), np.inf)  # no row beyond is among the k
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                x, own = matrix(part.column(1)), part.column(0).to_numpy()
-                d, off = _rough(qs, x, similarity)
-                free = qid[:, None] != own[None, :] if self_free else np.ones(d.shape, bool)
-                if len(x) >= k:
-                    high = np.where(free & ~np.isnan(d), d + off, np.inf)
-                    most = np.minimum(most, np.partition(high, k - 1, axis=1)[:, k - 1])
-                i, j = np.nonzero(free & ~(d - off > most[:, None]))
-                best = _first(*(np.concatenate(y) for y in zip(best, (i, _exact(qs, x, i, j, similarity), own[j]), strict=True)), k)
-                full = np.flatnonzero(np.bincount(best[0], minlength=len(qid)) == k)
-                last = best[1][np.searchsorted(best[0], full, "right") - 1]
-                most[full] = np.fmin(most[full], last)
-        yield pa.RecordBatch.from_arrays([pa.array(qid[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["qid", "id", "distance"])
-
-    return docs.select("id", "vec").mapInArrow(run, FOUND)
+        return pa.table([pa.array(self.qid[self.best[0]]), pa.array(self.best[2]), pa.array(self.best[1])], names=["qid", "id", "distance"])
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int, similarity: str = "l2", self_free: bool = False) -> DataFrame:
@@ -113,12 +114,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int, similarity: str = "l2",
     Equal distances go by id.  self_free leaves out the doc with the query's own id.
     """
     kind = sim.parse(similarity)
-    found = None
-    for ids, q in collect_blocks(queries, "id", "vec"):
-        part = _scan(docs, ids, q, k, kind, self_free)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "qid long, rank int, id long, distance double")
+    found = against_all(queries, docs, "vec", lambda ids, q: Nearest(ids, q, k, kind, self_free), FOUND)
     return top_k(found, k).select("qid", "rank", "id", "distance")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.coding import Coding, coding
-from nearfield.plans.blocks import collect_blocks, matrix
+from nearfield.plans.blocks import BLOCK_BYTES, QUERY_BYTES, extent, matrix
 from nearfield.plans.durable import durable
 from nearfield.plans.topk import top_k
 
@@ -420,39 +420,50 @@ def mutate(index: Index, upserts: DataFrame | None = None, deletes: DataFrame |
     return Index(config, rows, center, shards)
 
 
-def _searcher(config: Config, center: list[float] | None, shared, keep, seeds: tuple, rerank: int | None, k: int) -> Callable:  # noqa: ANN001
-    """Searches one shard for all shared queries."""
+COUNTERS = ("visited", "added", "candidates", "filtered", "skipped")
+FOUND = "qid long, id long, distance double, " + ", ".join(f"{c} long" for c in COUNTERS)
 
-    def run(t):  # noqa: ANN001, ANN202
-        import pyarrow as pa
 
-        g = restore(config, t.to_pylist(), None if center is None else np.array(center))
-        out: tuple = ([], [], [], [])
-        for qid, v in zip(*shared.value, strict=True):
-            for d, i in g.search(v, keep, seeds, rerank=rerank)[:k]:
-                for o, x in zip(out, (int(qid), i, d, g.stats.visited), strict=True):
-                    o.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        return pa.table([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["qid", "id", "distance", "visited"])
+def _ask(g: Graph, ids: np.ndarray, q: np.ndarray, keep, seeds: tuple, rerank: int | None, k: int):  # noqa: ANN001, ANN202
+    """The first k of one shard for each query, with the search's counters."""
+    import pyarrow as pa
 
-    return run
+    out: tuple = tuple([] for _ in range(3 + len(COUNTERS)))
+    for qid, v in zip(ids.tolist(), q, strict=True):
+        found = g.search(v, keep, seeds, rerank=rerank)[:k]
+        counters = [getattr(g.stats, c) for c in COUNTERS]
+        for d, i in found:
+            for o, x in zip(out, (qid, i, d, *counters), strict=True):
+                o.append(x)
+    kinds = (pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * len(COUNTERS))
+    return pa.table([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["qid", "id", "distance", *COUNTERS])
 
 
 def search(index: Index, queries: DataFrame, k: int, keep: Callable[[int], bool] | None = None, seeds: Iterable[int] = (), num_rerank: int | None = None) -> DataFrame:
-    """queries: id, vec.  qid, rank, id, distance, visited (vertices expanded in the row's shard).
+    """queries: id, vec.  qid, rank, id, distance, and the counters of the search in the row's shard.
 
-    keep: predicate on ids; vertices that fail are expanded but not returned.
+    visited: vertices expanded; added: taken into the list; candidates: scored; filtered, skipped: left out by keep, not
+    there.  keep: predicate on ids; vertices that fail are expanded but not returned.  Queries of up to QUERY_BYTES go to
+    every shard's task; more of them are dealt to blocks, and a shard is asked once for each block.
     """
     config, center, seeds = index.config, index.center, tuple(seeds)
-    parts = None
-    for ids, q in collect_blocks(queries, "id", "vec"):
-        shared = index.rows.sparkSession.sparkContext.broadcast((ids, q))
+    load = lambda t: restore(config, t.to_pylist(), None if center is None else np.array(center))
+    n, width = extent(queries)
+    if n * width <= QUERY_BYTES:
+        t = queries.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).orderBy("id").toArrow()
+        shared = index.rows.sparkSession.sparkContext.broadcast((t.column(0).to_numpy(), matrix(t.column(1))))
+        found = index.rows.groupBy("shard").applyInArrow(lambda t: _ask(load(t), *shared.value, keep, seeds, num_rerank, k), FOUND)
+    else:
+        blocks = F.lit(-(-n * width // BLOCK_BYTES))
+        shards = index.rows.select("shard").distinct()
+        left = queries.select(F.col("id").cast("long").alias("qid"), F.col("vec").cast("array<float>").alias("q"), F.pmod(F.xxhash64("id"), blocks).alias("part")).crossJoin(F.broadcast(shards))
+        right = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+
+        def pair(q, t):  # noqa: ANN001, ANN202
+            return _ask(load(t), q.column("qid").to_numpy(), matrix(q.column("q")) if q.num_rows else np.empty((0, 0)), keep, seeds, num_rerank, k)
 
-        part = index.rows.groupBy("shard").applyInArrow(_searcher(config, center, shared, keep, seeds, num_rerank, k), "qid long, id long, distance double, visited long")
-        parts = part if parts is None else parts.union(part)
-    if parts is None:
-        return index.rows.sparkSession.createDataFrame([], "qid long, rank int, id long, distance double, visited long")
-    return top_k(parts, k).select("qid", "rank", "id", "distance", "visited")
+        found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(pair, FOUND)
+    return top_k(found, k).select("qid", "rank", "id", "distance", *COUNTERS)
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:
@@ -489,7 +500,7 @@ def _walk(pairs: DataFrame, entry: int, hops: int = 4) -> DataFrame:
 
 def next_id(ids: DataFrame) -> int:
     """One over the largest id; 0 in an empty index."""
-    return (ids.agg(F.max("id")).first()[0] or -1) + 1 if not ids.isEmpty() else 0
+    return ids.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
 
 
 def lookup(index: Index, id_: int) -> dict | None:

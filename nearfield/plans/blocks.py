@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Greatest size of what is sent to every task at once.
-MOST_BYTES = 256 << 20
+#: Greatest size of what is sent to every task at once; of queries that are (more go by a grid of blocks), and of a block.
+MOST_BYTES, QUERY_BYTES, BLOCK_BYTES = 256 << 20, 32 << 20, 32 << 20
+#: Queries that a task works on at once.
+QUERIES = 2048
 
 
 def matrix(column: Any, dtype: str = "f4") -> np.ndarray:  # noqa: ANN401
@@ -40,6 +42,59 @@ def collect_blocks(df: DataFrame, id_: str, vec: str, rows: int = 4096, most: in
         yield np.array([x[0] for x in some], np.int64), np.array([x[1] for x in some], np.float32)
 
 
+def extent(df: DataFrame, vec: str = "vec") -> tuple[int, int]:
+    """Rows, and bytes of the longest vector as floats (or of the longest code)."""
+    width = F.octet_length(vec) if df.schema[vec].dataType.typeName() == "binary" else 4 * F.size(vec)
+    n, most = df.agg(F.count("*"), F.max(width)).first()
+    return n, most or 0
+
+
+def against_all(queries: DataFrame, docs: DataFrame, vec: str, make: Callable[[np.ndarray, np.ndarray], Any], schema: str, most: int = QUERY_BYTES, block: int = BLOCK_BYTES) -> DataFrame:
+    """Every query (id, vec) against every row of docs (id and `vec`), whatever their numbers.
+
+    make(ids, vectors) is the state of at most QUERIES queries; its add(ids, column) takes docs, and rows() gives an Arrow
+    table of `schema`.  Queries of up to `most` bytes go to every task; more of them are dealt to blocks, as docs are, and
+    every pair of blocks is a task of its own: nothing but two counts reaches the driver then.
+    """
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    n, width = extent(queries)
+
+    def states(ids: np.ndarray, x: np.ndarray) -> list:
+        return [make(ids[at : at + QUERIES], x[at : at + QUERIES]) for at in range(0, len(ids), QUERIES)]
+
+    if n * width <= most:
+        t = queries.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).orderBy("id").toArrow()
+        shared = spark.sparkContext.broadcast((t.column(0).to_numpy(), matrix(t.column(1))))
+
+        def scan(batches: Iterator) -> Iterator:
+            own = states(*shared.value)
+            for b in batches:
+                for s in own if b.num_rows else ():
+                    s.add(b.column(0).to_numpy(), b.column(1))
+            for s in own:
+                yield from s.rows().to_batches()
+
+        return docs.select("id", vec).mapInArrow(scan, schema)
+    d, wide = extent(docs, vec)
+    across, down = -(-n * width // block), max(1, -(-d * wide // block))
+    at = lambda parts, name: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(name)
+    every = lambda parts, name: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
+    left = queries.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"), at(across, "i"), every(down, "j"))
+    right = docs.select("id", F.col(vec).alias("vec"), at(down, "j"), every(across, "i"))
+
+    def pair(q: pa.Table, x: pa.Table) -> pa.Table:
+        q = q.sort_by("id")
+        own = states(q.column("id").to_numpy(), matrix(q.column("vec"))) if q.num_rows else []
+        for b in x.to_batches() if own else ():
+            for s in own:
+                s.add(b.column(b.schema.get_field_index("id")).to_numpy(), b.column(b.schema.get_field_index("vec")))
+        return pa.concat_tables([s.rows() for s in own]) if own else make(np.empty(0, np.int64), np.empty((0, 0), np.float32)).rows()
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pair, schema)
+
+
 def small(df: DataFrame, id_: str, vec: str, most: int = MOST_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """All of a frame that is small by design (centroids); larger ones are an error."""
     ids, x, held = [], [], 0

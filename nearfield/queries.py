@@ -1,6 +1,6 @@
 """The registered queries over `embeddings`, and the SQL that must give the same rows.
 
-Queries are the vectors with vec_id < 50.  Distances are sums from left to right in double on both sides, so they are
+Queries are the vectors whose vec_id is divisible by 50, so that they grow with the table.  Distances are sums from left to right in double on both sides, so they are
 equal to the last bit; sums over rows are rounded to six places.
 """
 
@@ -21,7 +21,7 @@ from nearfield.plans.durable import durable
 from nearfield.plans.topk import top_k
 from nearfield.sources import vectors as files
 
-DIMS, Q, K = 64, 50, 10
+DIMS, EVERY, K = 64, 50, 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -47,7 +47,7 @@ def _top(rows: str, k: int = K, group: str = "qid", order: str = "distance, id",
 
 
 def _knn(kind: str, where: str = "true", k: int = K) -> str:
-    return f"WITH {V}, d AS (SELECT q.id AS qid, v.id AS id, {_dist(kind, 'q.e', 'v.e')} AS distance FROM v q, v WHERE q.id < {Q} AND {where}) {_top('d', k)}"
+    return f"WITH {V}, d AS (SELECT q.id AS qid, v.id AS id, {_dist(kind, 'q.e', 'v.e')} AS distance FROM v q, v WHERE q.id % {EVERY} = 0 AND {where}) {_top('d', k)}"
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -66,7 +66,7 @@ def data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = vectors(data(spark, sf_dir))
-    return v.where(F.col("id") < Q), v
+    return v.where(F.col("id") % EVERY == 0), v
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +99,10 @@ def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
 def knn_by_label(spark: SparkSession, sf: str) -> DataFrame:
     v = labelled(spark, sf)
     on = (F.col("q_label") == F.col("label")) & (F.col("qid") != F.col("id"))
-    return top_k(exact.pairs(v.where(f"id < {Q}"), v, on=on), K).select("qid", "rank", "id", "distance")
+    return top_k(exact.pairs(v.where(f"id % {EVERY} = 0"), v, on=on), K).select("qid", "rank", "id", "distance")
 
 
-@query("knn_range", f"WITH {V}, d AS (SELECT q.id AS qid, v.id AS id, {_dist('l2', 'q.e', 'v.e')} AS distance FROM v q, v WHERE q.id < {Q}) SELECT * FROM d WHERE distance < 1.4")
+@query("knn_range", f"WITH {V}, d AS (SELECT q.id AS qid, v.id AS id, {_dist('l2', 'q.e', 'v.e')} AS distance FROM v q, v WHERE q.id % {EVERY} = 0) SELECT * FROM d WHERE distance < 1.4")
 def knn_range(spark: SparkSession, sf: str) -> DataFrame:
     return exact.within(*both(spark, sf), 1.4)
 
@@ -123,14 +123,14 @@ def binary_encode(spark: SparkSession, sf: str) -> DataFrame:
     return both(spark, sf)[1].select("id", sim.sign_words("vec", DIMS)[0].alias("word"))
 
 
-_HAMMING = f"WITH {V}, w AS (SELECT id, CAST({_WORD} AS BIGINT) AS word FROM v), d AS (SELECT q.id AS qid, w.id AS id, bit_count(xor(q.word, w.word)) / 64.0::DOUBLE AS distance FROM w q, w WHERE q.id < {Q})"
+_HAMMING = f"WITH {V}, w AS (SELECT id, CAST({_WORD} AS BIGINT) AS word FROM v), d AS (SELECT q.id AS qid, w.id AS id, bit_count(xor(q.word, w.word)) / 64.0::DOUBLE AS distance FROM w q, w WHERE q.id % {EVERY} = 0)"
 
 
 @query("hamming_knn", f"{_HAMMING} {_top('d')}")
 def hamming_knn(spark: SparkSession, sf: str) -> DataFrame:
     w = both(spark, sf)[1].select("id", sim.sign_words("vec", DIMS).alias("w"))
-    q = w.where(f"id < {Q}").select(F.col("id").alias("qid"), F.col("w").alias("qw"))
-    return top_k(F.broadcast(q).crossJoin(w).select("qid", "id", sim.hamming(F.col("qw"), F.col("w"), DIMS).alias("distance")), K).select("qid", "rank", "id", "distance")
+    q = w.where(f"id % {EVERY} = 0").select(F.col("id").alias("qid"), F.col("w").alias("qw"))
+    return top_k(q.crossJoin(w).select("qid", "id", sim.hamming(F.col("qw"), F.col("w"), DIMS).alias("distance")), K).select("qid", "rank", "id", "distance")
 
 
 _F = "CAST(embedding AS FLOAT[])"
@@ -143,7 +143,7 @@ m2 AS (
 m3 AS (SELECT vec_id AS id, list_transform({_F}, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS g FROM embeddings),
 d AS (
   SELECT m2.id AS qid, m3.id AS id, (1 - {_dot('m2.n', 'm3.g')} * m2.one * m2.back * m2.back) / 2 AS distance
-  FROM m2, m3 WHERE m2.id < {Q})"""
+  FROM m2, m3 WHERE m2.id % {EVERY} = 0)"""
 
 
 def _asym(spark: SparkSession, sf: str, k: int) -> DataFrame:
@@ -273,7 +273,7 @@ def rebalance_ops(spark: SparkSession, sf: str) -> DataFrame:
     return P.rebalance_ops(_counts(spark, sf), LEAST, MOST)
 
 
-_NEAR = f"n AS (SELECT q.id AS qid, c.centroid_id, {_dist('l2', 'q.e', 'c.e')} AS cd FROM v q, c WHERE q.id < {Q}), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cd, centroid_id) AS k FROM n)"
+_NEAR = f"n AS (SELECT q.id AS qid, c.centroid_id, {_dist('l2', 'q.e', 'c.e')} AS cd FROM v q, c WHERE q.id % {EVERY} = 0), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cd, centroid_id) AS k FROM n)"
 _TOPN = "p AS (SELECT qid, centroid_id FROM o WHERE k <= 4)"
 _COUNTED = "g AS (SELECT o.*, coalesce(sum(count) OVER (PARTITION BY qid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o JOIN s ON s.centroid_id = o.centroid_id), p AS (SELECT qid, centroid_id FROM g WHERE before < 120)"
 _SCAN = f"d AS (SELECT p.qid, a.id, {_dist('l2', 'q.e', 'v.e')} AS distance FROM p JOIN a ON a.centroid_id = p.centroid_id JOIN v q ON q.id = p.qid JOIN v ON v.id = a.id)"
@@ -376,7 +376,7 @@ def export_head(spark: SparkSession, sf: str) -> DataFrame:
 
 # Graphs
 
-_G = f"t AS ({_knn('l2', 'q.id <> v.id', 2).replace(f'q.id < {Q} AND ', '')})"
+_G = f"t AS ({_knn('l2', 'q.id <> v.id', 2).replace(f'q.id % {EVERY} = 0 AND ', '')})"
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,5 +42,5 @@ def test_query(spark, db, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 500
+    assert __spark_entry__.entry(spark).count() == 100
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
