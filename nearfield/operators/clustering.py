@@ -5,6 +5,8 @@ Assignment and the sums of an update run on the cluster; centroids are small by
 
 from __future__ import annotations
 
+import itertools
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.similarity import block, distance
+from nearfield.functions.similarity import block
+from nearfield.operators.exact import left_to_right
 from nearfield.plans.blocks import matrix
 
 
@@ -39,6 +42,23 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, d[np.arange(len(x)), at]
 
 
+def nearest_exactly(x: np.ndarray, centroids: np.ndarray, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The same by distances summed from left to right: those that rounding leaves in question are computed again."""
+    at, best = np.empty(len(x), np.int64), np.empty(len(x))
+    c = centroids.astype(np.float64)
+    size = np.square(c).sum(1).max(initial=0)
+    for s in range(0, len(x), rows):
+        part = x[s : s + rows].astype(np.float64)
+        d = block(part, c)
+        off = 1e-13 * (part.shape[1] + 8) * (np.square(part).sum(1) + size)
+        i, j = np.nonzero(d <= (d.min(1) + off)[:, None])
+        e = left_to_right(part, c, i, j, "l2")
+        order = np.lexsort((j, e, i))
+        first = order[np.searchsorted(i[order], np.arange(len(part)))]
+        at[s : s + rows], best[s : s + rows] = j[first], e[first]
+    return at, best
+
+
 def assign(vecs: DataFrame, ids: np.ndarray, centroids: np.ndarray) -> DataFrame:
     """vecs: id, vec.  id, centroid_id, distance."""
     shared = vecs.sparkSession.sparkContext.broadcast((np.asarray(ids), np.asarray(centroids)))
@@ -49,19 +69,12 @@ def assign(vecs: DataFrame, ids: np.ndarray, centroids: np.ndarray) -> DataFrame
         cid, c = shared.value
         for b in batches:
             if b.num_rows:
-                at, d = nearest(matrix(b.column(1)), c)
+                at, d = nearest_exactly(matrix(b.column(1)), c)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cid[at].astype(np.int64)), pa.array(d)], names=["id", "centroid_id", "distance"])
 
     return vecs.select("id", "vec").mapInArrow(run, "id long, centroid_id long, distance double")
 
 
-def assign_columns(vecs: DataFrame, centroids: DataFrame) -> DataFrame:
-    """The same in the JVM.  centroids: centroid_id, cvec."""
-    d = vecs.crossJoin(centroids).withColumn("distance", distance("vec", "cvec"))
-    best = F.min(F.struct("distance", "centroid_id")).alias("best")
-    return d.groupBy("id").agg(best).select("id", "best.centroid_id", "best.distance")
-
-
 def mean_vector(vecs: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Mean of each component (by group): [group,] pos, mean."""
     group = group or []
@@ -145,51 +158,31 @@ def local_kmeans(x: np.ndarray, k: int, params: KMeansParams) -> np.ndarray:
 
 
 def binary_partition(x: np.ndarray, least: int, iters: int, rng: np.random.Generator) -> np.ndarray:
-    """Two centroids that part x with at least `least` rows on each side, if iterations suffice.
+    """Two centroids that part x, with at least `least` rows on each side wherever rows differ there.
 
-    Up to three seed pairs (the second row drawn by distance to the first) with an acceptable split compete by their sum
-    of distances; then the border moves towards the half, faster while that does not help.
+    2-means gives a direction and a border.  If a side has too few rows, the border moves along that direction to the
+    nearest place that leaves enough, and the centroids are set out at equal distances from it, so that being nearest to
+    one of them is being on its side of the border.
     """
-    n, half = len(x), len(x) // 2
-    acceptable = range(least, n - least + 1)
-
-    def look(c: np.ndarray) -> tuple:
-        d = block(x, c)
-        order = np.lexsort((np.arange(n), d[:, 0] - d[:, 1]))
-        gap = (d[:, 0] - d[:, 1])[order]
-        right = np.flatnonzero(gap >= 0)
-        split = int(right[0]) if len(right) else n
-        return c, order, split, float(d[order[:split], 0].sum() + d[order[split:], 1].sum())
-
-    def moved(state: tuple, target: int) -> tuple:
-        order = state[1]
-        return look(np.stack([x[order[:target]].mean(0), x[order[target:]].mean(0)]) if 0 < target < n else state[0])
-
-    found: list[tuple] = []
-    for _ in range(max(1, iters)):
-        first = int(rng.integers(n))
-        d = block(x, x[first : first + 1])[:, 0]
-        if d.sum() == 0:  # equal rows: any border does
-            s = look(np.stack([x[first], x[first]]))
-            return np.stack([x[:half].mean(0), x[half:].mean(0)]) if n > 1 else s[0]
-        second = int(rng.choice(n, p=d / d.sum()))
-        s = look(x[[first, second]])
-        found.append(moved(s, s[2]))
-        if sum(f[2] in acceptable for f in found) >= 3:
-            break
-    now = min(found, key=lambda f: (f[2] not in acceptable, f[3]))
-    faster = 1
-    for _ in range(iters):
-        step = max(1, abs(half - now[2]) // 10 * faster)
-        target = min(now[2] + step, n - 1) if now[2] < half else max(1, now[2] - step)
-        then = moved(now, target)
-        if abs(half - then[2]) < abs(half - now[2]):
-            now, faster = then, 1
-        elif now[2] in acceptable:
-            break
-        else:
-            faster *= 2
-    return now[0]
+    n = len(x)
+    pair = local_kmeans(x, 2, KMeansParams(iters=max(1, iters), init="plusplus", seed=int(rng.integers(2**31))))
+    if len(pair) < 2 or not np.abs(pair[1] - pair[0]).max() > 0:  # equal rows: no border parts them
+        return np.stack([x[: n // 2].mean(0), x[n // 2 :].mean(0)]) if n > 1 else np.repeat(x, 2, 0)
+    sides = np.bincount(nearest(x, pair)[0], minlength=2)
+    if sides.min() >= least:
+        return pair
+    along = pair[1] - pair[0]
+    along = along / np.sqrt(along @ along)
+    t = np.sort(x @ along)
+    steps = np.flatnonzero(np.diff(t) > 1e-12 * max(1.0, np.abs(t).max())) + 1  # rows before a possible border
+    if not len(steps):
+        return pair
+    short = np.maximum(0, least - np.minimum(steps, n - steps))  # rows that the smaller side lacks
+    cut = int(steps[np.lexsort((np.abs(steps - sides[0]), short))[0]])
+    border, reach = (t[cut - 1] + t[cut]) / 2, (t[cut:].mean() - t[:cut].mean()) / 2
+    middle = x.mean(0)
+    middle = middle + (border - middle @ along) * along
+    return np.stack([middle - reach * along, middle + reach * along])
 
 
 def prune_small(x: np.ndarray, c: np.ndarray, least: int) -> np.ndarray:
@@ -202,49 +195,90 @@ def prune_small(x: np.ndarray, c: np.ndarray, least: int) -> np.ndarray:
     return c
 
 
-def hierarchical(vecs: DataFrame, least: int, most: int, buffer: int = 200_000, params: KMeansParams = KMeansParams()) -> np.ndarray:
-    """Centroids of clusters of about `least` to `most` rows, best effort.
+#: Children of a node and sampled rows that choose them.
+BRANCH, SAMPLE = 64, 4096
+
+
+class Tree:
+    """Nodes of a hierarchical clustering; a row belongs to the leaf that it comes to by its nearest child each time."""
+
+    def __init__(self, root: np.ndarray) -> None:
+        self.at = [root]  # centroid of a node
+        self.children: dict[int, np.ndarray] = {}
+
+    def split(self, node: int, new: np.ndarray) -> None:
+        self.children[node] = np.arange(len(self.at), len(self.at) + len(new))
+        self.at += list(new)
+
+    def leaves(self) -> list[int]:
+        return [n for n in range(len(self.at)) if n not in self.children]
 
-    Each round splits all clusters that are too large from a sample of their rows (at most `buffer` in all, in seeded
-    hash order) in parallel tasks, then counts anew over all rows.
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        todo = np.arange(len(x))
+        while len(todo):
+            todo = todo[np.isin(node[todo], list(self.children))] if self.children else todo[:0]
+            order = todo[np.argsort(node[todo], kind="stable")]
+            for rows in np.split(order, np.flatnonzero(np.diff(node[order])) + 1) if len(order) else ():
+                own = self.children[int(node[rows[0]])]
+                node[rows] = own[nearest(x[rows], np.stack([self.at[c] for c in own]))[0]]
+        return node
+
+
+def hierarchical(vecs: DataFrame, least: int, most: int, params: KMeansParams = KMeansParams(), branch: int = BRANCH, sample: int = SAMPLE) -> np.ndarray:
+    """Centroids of clusters of about `least` to `most` rows.
+
+    Each round is one scan that counts the leaves of the tree so far, and one that splits every leaf that is too large into
+    at most `branch` children, chosen in a task of its own from about `sample` of its rows (in seeded hash order), so that
+    no task grows with the table.  A leaf of equal rows can't be split; a warning says how many such are over the bound.
     """
-    rng_seed = params.seed
-    total = vecs.count()
-    if total == 0:
+    spark, seed = vecs.sparkSession, params.seed
+    root = [r["mean"] for r in mean_vector(vecs).orderBy("pos").collect()]
+    if not root:
         return np.empty((0, 0))
-    centroids = np.array([[r["mean"] for r in mean_vector(vecs).orderBy("pos").collect()]])
-    for turn in range(40):
-        a = assign(vecs, np.arange(len(centroids)), centroids)
-        sizes = {r["centroid_id"]: r["n"] for r in a.groupBy("centroid_id").agg(F.count("*").alias("n")).collect()}
-        over = [c for c, n in sizes.items() if n > most]
+    tree, stuck = Tree(np.array(root)), set()
+    for turn in itertools.count():
+        shared = spark.sparkContext.broadcast(tree)
+
+        def place(batches: Iterator, shared=shared) -> Iterator:  # noqa: ANN001
+            import pyarrow as pa
+
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.leaf_of(matrix(b.column(1), "f8")))], names=["id", "vec", "node"])
+
+        placed = vecs.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).mapInArrow(place, "id long, vec array<float>, node long")
+        sizes = {r["node"]: r["n"] for r in placed.groupBy("node").agg(F.count("*").alias("n")).collect()}
+        over = {c: n for c, n in sizes.items() if n > most and c not in stuck}
         if not over:
             break
-        share = min(1.0, buffer / sum(sizes[c] for c in over))
-        rows = vecs.join(a.select("id", "centroid_id").where(F.col("centroid_id").isin(over)), "id")
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(rng_seed + turn), "id"), F.lit(1_000_000)) < share * 1_000_000)
-        wanted = F.create_map(*[F.lit(v) for c in over for v in (c, max(2, -(-sizes[c] // most)))])
+        about = spark.createDataFrame([(c, min(branch, -(-n // most)), min(1.0, sample / n)) for c, n in over.items()], "node long, k int, share double")
+        unit = F.pmod(F.xxhash64(F.lit(seed + turn), "id"), F.lit(1 << 30)) / float(1 << 30)
+        rows = placed.join(about, "node").where(unit < F.col("share"))
 
-        def split(t):  # noqa: ANN001, ANN202
+        def choose(t):  # noqa: ANN001, ANN202
             import pyarrow as pa
 
             t = t.sort_by("id")
-            x = matrix(t.column("vec"), "f8")
-            k, c = t.column("k")[0].as_py(), t.column("centroid_id")[0].as_py()
-            low = max(1, int(least * share))
-            if len(x) < 2 * low or len(x) < 2:
-                new = x.mean(0, keepdims=True)
-            elif k == 2:
-                new = binary_partition(x, low, 100, np.random.default_rng([rng_seed, c]))
-            else:
+            x, k, c = matrix(t.column("vec"), "f8"), t.column("k")[0].as_py(), t.column("node")[0].as_py()
+            low = max(1, int(least * t.column("share")[0].as_py()))
+            new = x[:0]
+            if k > 2:
                 new = prune_small(x, local_kmeans(x, min(k, len(x)), params), low)
-            return pa.table({"centroid_id": pa.array([c] * len(new)), "vec": pa.array([list(r) for r in new], pa.list_(pa.float64()))})
+            if len(new) < 2 and len(x) > 1:
+                new = binary_partition(x, min(low, len(x) // 2), 100, np.random.default_rng([seed, c]))
+            new = np.unique(new, axis=0)
+            return pa.table({"node": pa.array([c] * len(new), pa.int64()), "vec": pa.array([list(r) for r in new], pa.list_(pa.float64()))})
 
-        made = rows.withColumn("k", wanted[F.col("centroid_id")]).groupBy("centroid_id").applyInArrow(split, "centroid_id long, vec array<double>").collect()
         fresh: dict[int, list] = {}
-        for r in sorted(made, key=lambda r: (r[0], r[1])):
-            fresh.setdefault(r[0], []).append(r[1])
-        if all(len(v) < 2 for v in fresh.values()):
-            break
-        stay = [centroids[c] for c in range(len(centroids)) if c in sizes and c not in fresh]
-        centroids = np.array(stay + [v for c in sorted(fresh) for v in fresh[c]])
-    return np.unique(centroids.astype(np.float32), axis=0)
+        for r in rows.groupBy("node").applyInArrow(choose, "node long, vec array<double>").collect():
+            fresh.setdefault(r["node"], []).append(r["vec"])
+        for c in sorted(over):
+            new = np.array(sorted(fresh.get(c, ())))
+            if len(new) > 1:
+                tree.split(c, new)
+            else:
+                stuck.add(c)
+    if stuck:
+        warnings.warn(f"{len(stuck)} clusters over {most} rows can't be split", stacklevel=2)
+    return np.unique(np.array([tree.at[c] for c in tree.leaves() if c in sizes]).astype(np.float32), axis=0)

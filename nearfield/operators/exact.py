@@ -23,7 +23,7 @@ ROWS, PAIRS = 1024, 1 << 17
 
 
 def _rough(q: np.ndarray, x: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distances by a product in single precision, and a bound of how far they are from those of _exact().
+    """Distances by a product in single precision, and a bound of how far they are from those of left_to_right().
 
     The bound is that of a sum of n products in any order, (n + 8) * 2^-24 * |a||b|, and what may underflow.  NaN: unknown.
     """
@@ -46,7 +46,7 @@ def _rough(q: np.ndarray, x: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndar
     return d, off
 
 
-def _exact(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
+def left_to_right(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     """Distances of q[a] and x[b] in double, summed from left to right as similarity.distance() has them."""
     qt, xt = q.T.astype(np.float64), x.T.astype(np.float64)
     out = np.empty(len(a))
@@ -96,7 +96,7 @@ class Nearest:
                 high = np.where(free & ~np.isnan(d), d + off, np.inf)
                 most = np.minimum(most, np.partition(high, k - 1, axis=1)[:, k - 1])
             i, j = np.nonzero(free & ~(d - off > most[:, None]))
-            self.best = _first(*(np.concatenate(y) for y in zip(self.best, (i, _exact(self.qs, part, i, j, self.kind), own[j]), strict=True)), k)
+            self.best = _first(*(np.concatenate(y) for y in zip(self.best, (i, left_to_right(self.qs, part, i, j, self.kind), own[j]), strict=True)), k)
             full = np.flatnonzero(np.bincount(self.best[0], minlength=len(self.qid)) == k)
             last = self.best[1][np.searchsorted(self.best[0], full, "right") - 1]
             most[full] = np.fmin(most[full], last)

@@ -228,7 +228,7 @@ def _centroids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, sf: str) -> DataFrame:
-    return km.assign_columns(both(spark, sf)[1], _centroids(spark, sf))
+    return km.assign(both(spark, sf)[1], *small(_centroids(spark, sf), "centroid_id", "cvec"))
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
