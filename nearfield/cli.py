@@ -139,13 +139,13 @@ def _graph_config(a: argparse.Namespace) -> graph.Config:
 
 def save_graph(index: graph.Index, path: str) -> None:
     index.rows.write.mode("overwrite").parquet(f"{path}/rows")
-    meta = json.dumps({"config": index.config.to_json(), "center": index.center})
+    meta = json.dumps({"config": index.config.to_json(), "center": index.center, "shards": index.shards})
     index.rows.sparkSession.range(1).select(F.lit(meta).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_graph(spark: SparkSession, path: str) -> graph.Index:
     m = _meta(spark, path)
-    return graph.Index(graph.Config.from_json(m["config"]), spark.read.parquet(f"{path}/rows"), m["center"])
+    return graph.Index(graph.Config.from_json(m["config"]), spark.read.parquet(f"{path}/rows"), m["center"], m["shards"])
 
 
 def vamana_bulk(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -157,9 +157,7 @@ def vamana_init(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def vamana_insert(spark: SparkSession, a: argparse.Namespace) -> None:
-    i = load_graph(spark, a.index)
-    shards = (i.rows.agg(F.max("shard")).first()[0] or 0) + 1
-    save_graph(graph.mutate(i, load(spark, a), shards=shards), a.target)
+    save_graph(graph.mutate(load_graph(spark, a.index), load(spark, a)), a.target)
 
 
 def vamana_search(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -394,9 +394,9 @@ def build(vecs: DataFrame, config: Config, rows_a_shard: int = 50_000, center: b
     return Index(config, rows, mean, shards)
 
 
-def mutate(index: Index, upserts: DataFrame | None = None, deletes: DataFrame | None = None, shards: int | None = None) -> Index:
-    """Delete ids, then insert or replace vectors (id, vec), in id order within each shard.  shards: those of the index."""
-    config, center, shards = index.config, index.center, shards or index.shards
+def mutate(index: Index, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> Index:
+    """Delete ids, then insert or replace vectors (id, vec), in id order within each shard of the index."""
+    config, center, shards = index.config, index.center, index.shards
     work = None
     for df, kind in ((deletes, "delete"), (upserts, "upsert")):
         if df is not None:
@@ -455,8 +455,8 @@ def search(index: Index, queries: DataFrame, k: int, keep: Callable[[int], bool]
         found = index.rows.groupBy("shard").applyInArrow(lambda t: _ask(load(t), *shared.value, keep, seeds, num_rerank, k), FOUND)
     else:
         blocks = F.lit(-(-n * width // BLOCK_BYTES))
-        shards = index.rows.select("shard").distinct()
-        left = queries.select(F.col("id").cast("long").alias("qid"), F.col("vec").cast("array<float>").alias("q"), F.pmod(F.xxhash64("id"), blocks).alias("part")).crossJoin(F.broadcast(shards))
+        every = F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))).alias("shard")
+        left = queries.select(F.col("id").cast("long").alias("qid"), F.col("vec").cast("array<float>").alias("q"), F.pmod(F.xxhash64("id"), blocks).alias("part"), every)
         right = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
 
         def pair(q, t):  # noqa: ANN001, ANN202

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.functions.coding import coding
-from nearfield.functions.similarity import block, distance
+from nearfield.functions.similarity import block
 from nearfield.operators import clustering as km
-from nearfield.operators.coded import encode, rerank
+from nearfield.operators.coded import Nearest, rerank
+from nearfield.operators.exact import left_to_right
 from nearfield.operators.exact import search as search_exact
-from nearfield.plans.blocks import codes, matrix, small
+from nearfield.plans.blocks import matrix, small
 from nearfield.plans.durable import durable
 from nearfield.plans.topk import top_k
 
@@ -73,12 +74,27 @@ def centroid_frame(spark: SparkSession, ids: np.ndarray, x: np.ndarray) -> DataF
     return spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "centroid_id long, cvec array<float>")
 
 
+def listed(vecs: DataFrame, centroids: DataFrame, config: Config) -> DataFrame:
+    """centroid_id, id, code of every vector (id, vec): nearest centroid and code from one pass over the vectors."""
+    shared = vecs.sparkSession.sparkContext.broadcast(small(centroids, "centroid_id", "cvec"))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        ids, c = shared.value
+        coder = coding(config.posting_coding, config.dims, config.similarity)
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(1))
+                rows = [r.tobytes() for r in coder.encode(x)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[km.nearest_exactly(x, c)[0]]), b.column(0), pa.array(rows, pa.binary())], names=["centroid_id", "id", "code"])
+
+    return vecs.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, "centroid_id long, id long, code binary")
+
+
 def fill(vecs: DataFrame, centroids: DataFrame, config: Config) -> Index:
     """Every vector to its nearest centroid, exactly."""
-    ids, x = small(centroids, "centroid_id", "cvec")
-    a = km.assign(vecs, ids, x).select("id", "centroid_id")
-    coded = encode(vecs, config.posting_coding, config.dims, config.similarity)
-    return Index(config, centroids, a.join(coded, "id").select("centroid_id", "id", "code"), vecs.select("id", "vec"))
+    return Index(config, centroids, listed(vecs, centroids, config), vecs.select("id", "vec"))
 
 
 def bulk_load(vecs: DataFrame, config: Config, params: km.KMeansParams = km.KMeansParams(iters=100)) -> Index:
@@ -156,27 +172,34 @@ def parse_selector(text: str) -> dict[str, int]:
     return {name: int(n)}
 
 
+#: Queries of one list that a task takes.
+WANTED = 20_000
+
+
 def search(index: Index, queries: DataFrame, limit: int, selector: str = "top_n:8", num_rerank: int = 0) -> DataFrame:
-    """queries: id, vec.  qid, rank, id, distance; lists are read once for all queries, partial top-k per list."""
+    """queries: id, vec.  qid, rank, id, distance; lists are read once for all queries, partial top-k per list.
+
+    A list that more than WANTED queries ask for is read by several tasks, each for a part of the queries.
+    """
     cfg = index.config
     counts = stats(index.centroids, index.postings)
     chosen = select_centroids(queries, index.centroids, counts, **parse_selector(selector), similarity=cfg.similarity)
-    wanted = chosen.join(queries.select(F.col("id").alias("qid"), F.col("vec").alias("q")), "qid").select("centroid_id", "qid", "q")
+    chosen = durable(chosen.select("centroid_id", "qid"), "chosen")
+    parts = chosen.groupBy("centroid_id").agg(F.ceil(F.count("*") / WANTED).cast("int").alias("parts"))
+    wanted = chosen.join(parts, "centroid_id").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int"))
+    wanted = wanted.join(queries.select(F.col("id").alias("qid"), F.col("vec").alias("q")), "qid").select("centroid_id", "part", "qid", "q")
+    read = index.postings.join(parts, "centroid_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("centroid_id", "part", "id", "code")
 
     def score(key, left, right):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         c = coding(cfg.posting_coding, cfg.dims, cfg.similarity)
-        qid, ids = left.column("qid").to_numpy(), right.column("id").to_numpy()
-        d = c.query(matrix(left.column("q")), codes(right.column("code")))
-        keep = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :limit]
-        return pa.table({
-            "qid": pa.array(np.repeat(qid, keep.shape[1])), "id": pa.array(ids[keep].ravel()), "distance": pa.array(np.take_along_axis(d, keep, 1).ravel()),
-        })
-
-    hits = wanted.groupBy("centroid_id").cogroup(index.postings.groupBy("centroid_id")).applyInArrow(score, "qid long, id long, distance double")
+        best = Nearest(left.column("qid").to_numpy(), matrix(left.column("q")), limit, c, symmetric=False, self_free=False)
+        for b in right.select(["id", "code"]).to_batches(max_chunksize=4096) if left.num_rows else ():
+            best.add(b.column(0).to_numpy(), b.column(1))
+        return best.rows().select(["qid", "id", "distance"])
+
+    hits = wanted.groupBy("centroid_id", "part").cogroup(read.groupBy("centroid_id", "part")).applyInArrow(score, "qid long, id long, distance double")
     best = top_k(hits.groupBy("qid", "id").agg(F.min("distance").alias("distance")), limit)
     if num_rerank and cfg.rerank_coding:
         return rerank(best, queries, index.raw, num_rerank, similarity=cfg.similarity)
@@ -190,33 +213,71 @@ def search_stats(index: Index, queries: DataFrame, selector: str = "top_n:8") ->
     return chosen.join(counts, "centroid_id").groupBy("qid").agg(F.count("*").alias("postings_read"), F.sum("count").alias("vectors_read"))
 
 
-def split_reassign(vecs: DataFrame, source: int, old: np.ndarray, ids: tuple[int, int], pair: np.ndarray, others: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Where the vectors of a split centroid go: the nearer new one (the second on a tie), or, where the source itself is
-    strictly nearest, the nearest of all survivors.  id, centroid_id."""
-    del source
-    all_ids, all_c = np.concatenate([np.array(ids), others[0]]), np.concatenate([pair, others[1]]) if len(others[0]) else pair
-    everywhere = km.assign(vecs, all_ids, all_c).select("id", F.col("centroid_id").alias("anywhere"))
-    shared = vecs.sparkSession.sparkContext.broadcast((old, pair, ids))
+def after_split(x: np.ndarray, old: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Where rows of a split list go: 0 or 1, the nearer of the pair (1 on a tie), or -1, the nearest of all survivors,
+    where the old centroid is strictly nearer than both."""
+    d = block(x, np.concatenate([pair, old[None]]))
+    return np.where(d[:, 2] < d[:, :2].min(1), -1, np.where(d[:, 0] < d[:, 1], 0, 1))
+
+
+def drawn(x: np.ndarray, own: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """The nearest of the fresh centroids where it is strictly nearer than a row's own, or -1."""
+    at, d = km.nearest_exactly(x, fresh)
+    mine = left_to_right(x, own, np.arange(len(x)), np.arange(len(x)), "l2")
+    return np.where(d < mine, at, -1)
+
+
+def moves(rows: DataFrame, old: dict[int, np.ndarray], after: dict[int, np.ndarray], pairs: dict[int, tuple[int, int]], gone: set[int], fresh: list[int] | None = None) -> DataFrame:
+    """rows: id, centroid_id, vec.  id and the list it goes to, for rows that change.
+
+    old: the centroids before; after: those that remain and the fresh ones; pairs: the two fresh ids of a split list; gone:
+    all lists that end; fresh: other ids than those of the pairs.  Rows of split lists go by after_split(), those of merged lists to the nearest of all, and rows
+    of other lists by drawn() to a fresh centroid.
+    """
+    fresh = [i for p in pairs.values() for i in p] if fresh is None else fresh
+    shared = rows.sparkSession.sparkContext.broadcast((old, np.array(list(after)), np.array(list(after.values()), float), fresh))
 
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        o, p, i = shared.value
+        old_, ids, every, new = shared.value
+        news = np.array([every[np.flatnonzero(ids == i)[0]] for i in new]) if new else np.empty((0, 0))
         for b in batches:
-            if b.num_rows:
-                d = block(matrix(b.column(1), "f8"), np.concatenate([p, o[None]]))
-                to = np.where(d[:, 0] < d[:, 1], i[0], i[1])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(to), pa.array(d[:, 2] < d[:, :2].min(1))], names=["id", "to", "source"])
+            if not b.num_rows:
+                continue
+            x, at = matrix(b.column(2), "f8"), b.column(1).to_numpy()
+            to = at.copy()
+            for c in np.unique(at).tolist():
+                mine = np.flatnonzero(at == c)
+                if c in pairs:
+                    pair = np.stack([every[np.flatnonzero(ids == i)[0]] for i in pairs[c]])
+                    side = after_split(x[mine], old_[c], pair)
+                    to[mine] = np.where(side < 0, -1, np.array(pairs[c])[np.maximum(side, 0)])
+                    mine = mine[side < 0]
+                if c in gone:
+                    if len(mine):
+                        to[mine] = ids[km.nearest_exactly(x[mine], every)[0]]
+                elif new:
+                    side = drawn(x[mine], np.repeat(old_[c][None], len(mine), 0), news)
+                    to[mine] = np.where(side < 0, c, np.array(new)[np.maximum(side, 0)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(to)], names=["id", "to"]).filter(pa.array(to != at))
+
+    return rows.select("id", "centroid_id", "vec").mapInArrow(run, "id long, to long")
 
-    local = vecs.select("id", "vec").mapInArrow(run, "id long, to long, source boolean")
-    return local.join(everywhere, "id").select("id", F.when(F.col("source"), F.col("anywhere")).otherwise(F.col("to")).alias("centroid_id"))
+
+def split_reassign(vecs: DataFrame, source: int, old: np.ndarray, ids: tuple[int, int], pair: np.ndarray, others: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Where the vectors (id, vec) of one split centroid go: moves() for them alone.  id, centroid_id."""
+    after = dict(zip([*ids, *others[0].tolist()], [*pair, *others[1]], strict=True))
+    rows = vecs.select("id", F.lit(source).cast("long").alias("centroid_id"), "vec")
+    return moves(rows, {source: old}, after, {source: ids}, {source}).select("id", F.col("to").alias("centroid_id"))
 
 
 def rebalance(index: Index, passes: int = 10, nearby: int = 64, seed: int = 42) -> tuple[Index, list[dict]]:
     """Merge small and split large lists until all are in bounds or `passes` are over.  A report of each pass.
 
-    Phases of a pass: summary; ops; split centroids; reassign the vectors of all sources; drop the sources; move vectors of
-    lists near new centroids that are strictly nearer to one of those.  A merge is left out where no centroid would remain.
+    Phases of a pass: summary; ops; split centroids; reassign the vectors of all sources and move those of lists near new
+    centroids that are strictly nearer to one of those (moves()); drop the sources.  A merge is left out where no centroid
+    would remain.
     """
     cfg, spark, report = index.config, index.postings.sparkSession, []
     for turn in range(passes):
@@ -245,20 +306,18 @@ def rebalance(index: Index, passes: int = 10, nearby: int = 64, seed: int = 42)
         fresh = {i: v for o in splits for i, v in zip((o["first_id"], o["second_id"]), pairs_[o["centroid_id"]], strict=True)}
         after = stay | fresh
         aid, ax = np.array(list(after)), np.array(list(after.values()), np.float32)
-        # New nearest centroids for all vectors that may change: those of sources, and of lists near a new centroid.
+        # What may change: the vectors of sources, and of the lists nearest to each new centroid.
         close: set[int] = set()
         if fresh and stay:
             sid, sx = np.array(list(stay)), np.array(list(stay.values()))
             d = block(np.array(list(fresh.values()), float), sx.astype(float))
             close = set(sid[np.argsort(d, 1, kind="stable")[:, :nearby]].ravel().tolist())
         touched = located.where(F.col("centroid_id").isin(sorted(gone | close)))
-        best = km.assign(touched.select("id", "vec"), aid, ax).select("id", F.col("centroid_id").alias("best"))
-        move = touched.select("id", "centroid_id").join(best, "id")
-        to = F.when(F.col("centroid_id").isin(sorted(gone)) | F.col("best").isin(sorted(fresh)), F.col("best")).otherwise(F.col("centroid_id"))
-        move = move.select("id", to.alias("to"))
+        old = {c: sizes[c].astype(float) for c in gone | close}
+        by = {o["centroid_id"]: (o["first_id"], o["second_id"]) for o in splits}
+        move = moves(touched, old, {c: np.asarray(v, float) for c, v in after.items()}, by, gone)
         postings = index.postings.join(move, "id", "left").select(F.coalesce("to", "centroid_id").alias("centroid_id"), "id", "code")
-        postings = durable(postings, "postings")
-        index = replace(index, centroids=centroid_frame(spark, aid, ax), postings=postings)
+        index = replace(index, centroids=centroid_frame(spark, aid, ax), postings=durable(postings, "postings"))
     return index, report
 
 
@@ -287,10 +346,7 @@ def insert(index: Index, vecs: DataFrame, overwrite: bool = False, bounds: bool
     if not overwrite and (n := vecs.join(index.postings, "id", "left_semi").count()):
         raise ValueError(f"{n} ids are in the index already")
     old = delete(index, vecs.select("id")) if overwrite else index
-    ids, x = small(old.centroids, "centroid_id", "cvec")
-    a = km.assign(vecs, ids, x).select("id", "centroid_id")
-    coded = encode(vecs, old.config.posting_coding, old.config.dims, old.config.similarity)
-    new = a.join(coded, "id").select("centroid_id", "id", "code")
+    new = listed(vecs, old.centroids, old.config)
     out = replace(old, postings=old.postings.unionByName(new), raw=old.raw.unionByName(vecs.select("id", F.col("vec").cast("array<float>").alias("vec"))))
     return rebalance(out) if bounds else (out, [])
 
@@ -300,20 +356,19 @@ def delete(index: Index, ids: DataFrame) -> Index:
 
 
 def nearby_reassign(assigned: DataFrame, vecs: DataFrame, centroids: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Vectors strictly nearer to a fresh centroid than to their own: id, centroid_id, to.
+    """Vectors strictly nearer to a fresh centroid than to their own: id, centroid_id, to; moves() of lists that stay.
 
     assigned: id, centroid_id; centroids, fresh: centroid_id, cvec."""
-    own = assigned.join(vecs, "id").join(centroids, "centroid_id")
-    own = own.select("id", "centroid_id", "vec", distance("vec", "cvec").alias("own"))
-    new = own.join(fresh.select(F.col("centroid_id").alias("to"), "cvec"))
-    new = new.select("id", "centroid_id", "own", F.struct(distance("vec", "cvec").alias("d"), F.col("to")).alias("b"))
-    return new.groupBy("id", "centroid_id", "own").agg(F.min("b").alias("b")).where("b.d < own").select("id", "centroid_id", "b.to")
+    frames = [small(c, "centroid_id", "cvec") for c in (centroids, fresh)]
+    old, new = (dict(zip(i.tolist(), x.astype(float), strict=True)) for i, x in frames)
+    rows = assigned.join(vecs, "id").select("id", "centroid_id", "vec")
+    return moves(rows, old, old | new, {}, set(), list(new)).join(assigned, "id").select("id", "centroid_id", "to")
 
 
 def delete_depth(assigned: DataFrame, vecs: DataFrame, centroids: DataFrame, beam: int, similarity: str = "l2") -> DataFrame:
     """For each record, the place of its own list among the `beam` centroids nearest to its own vector; null if beyond."""
-    d = vecs.join(centroids).select("id", "centroid_id", distance("vec", "cvec", similarity).alias("distance"))
-    near = top_k(d, beam, group=["id"], order=["distance", "centroid_id"]).select("id", "centroid_id", F.col("rank").alias("depth"))
+    heads = centroids.select(F.col("centroid_id").alias("id"), F.col("cvec").alias("vec"))
+    near = search_exact(vecs, heads, beam, similarity).select(F.col("qid").alias("id"), F.col("id").alias("centroid_id"), F.col("rank").alias("depth"))
     return assigned.join(near, ["id", "centroid_id"], "left").select("id", "centroid_id", "depth")
 
 

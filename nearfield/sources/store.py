@@ -1,12 +1,17 @@
 """Versioned key-value tables on Parquet: snapshots, transactions, point and range reads, bulk load.
 
 A table is a folder of immutable snapshots; a manifest (one small JSON file per version) names the snapshot of every
-table at that version.  A commit writes the new snapshots first and then creates the next manifest with Spark's file
-API, which fails if that file is there already: of two writers that started from one version, the second gets Conflict.
+table at that version, with the commit's time and the global timestamps.  A commit writes the new snapshots, then the next
+manifest under a name of its own, and last renames it, which fails if the version is there already: of two writers that
+started from one version the second gets Conflict, and a crash leaves no half-written version.
+
+Times are integers that only rise.  A commit takes the time it is given or one after the last.  Readers may ask for the
+newest version at or before a time.  The global timestamps are `oldest`, before which no reader may ask, and `stable`.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import uuid
 from dataclasses import dataclass, field
@@ -37,29 +42,85 @@ class Store:
             if not create:
                 raise NotFound(path)
             self._fs.mkdirs(self._p(f"{self.path}/manifest"))
-            self._commit(-1, {})
+            self._commit(-1, {}, 0, {})
 
     # Manifests
 
+    def versions(self) -> list[int]:
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._p(f"{self.path}/manifest")))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
     def version(self) -> int:
-        return max((int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(self._p(f"{self.path}/manifest"))), default=-1)
+        return max(self.versions(), default=-1)
 
-    def manifest(self, version: int | None = None) -> dict:
-        v = self.version() if version is None else version
-        rows = self.spark.read.text(f"{self.path}/manifest/{v:012d}.json", wholetext=True).collect()
+    def _read(self, version: int) -> dict:
+        rows = self.spark.read.text(f"{self.path}/manifest/{version:012d}.json", wholetext=True).collect()
         return json.loads(rows[0][0])
 
-    def _commit(self, parent: int, tables: dict) -> int:
+    def manifest(self, version: int | None = None) -> dict:
+        """Entry of each table."""
+        return self._read(self.version() if version is None else version)["tables"]
+
+    def _commit(self, parent: int, tables: dict, time: int | None, marks: dict | None) -> int:
+        """The version after parent.  time, marks: None for one after the last, and for the marks as they are."""
+        last = self._read(parent) if parent >= 0 else {"time": -1, "marks": {}}
+        if time is not None and time <= last["time"]:
+            raise ValueError(f"time {time} is not after {last['time']}")
+        body = {"tables": tables, "time": last["time"] + 1 if time is None else time, "marks": last["marks"] if marks is None else marks}
+        folder = f"{self.path}/manifest"
+        own, final = self._p(f"{folder}/{uuid.uuid4().hex}.tmp"), self._p(f"{folder}/{parent + 1:012d}.json")
+        out = self._fs.create(own, False)
+        out.write(bytearray(json.dumps(body), "utf-8"))
+        out.close()
+        sc = self.spark.sparkContext
+        rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.NONE
         try:
-            out = self._fs.create(self._p(f"{self.path}/manifest/{parent + 1:012d}.json"), False)
+            sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration()).rename(own, final, how)
         except Exception as e:
+            self._fs.delete(own, False)
             raise Conflict(f"version {parent + 1} exists") from e
-        out.write(bytearray(json.dumps(tables), "utf-8"))
-        out.close()
         return parent + 1
 
-    def begin(self, at: int | None = None) -> Transaction:
-        """at: read that version (a transaction on an old version can't commit changes)."""
+    # Time
+
+    def time(self, version: int | None = None) -> int:
+        """When a version (the newest) was committed."""
+        return self._read(self.version() if version is None else version)["time"]
+
+    def timestamps(self) -> dict[str, int]:
+        """oldest and stable, where they are set."""
+        return self._read(self.version())["marks"]
+
+    def set_timestamps(self, oldest: int | None = None, stable: int | None = None) -> None:
+        """Timestamps never go back, and oldest is never after stable."""
+        v = self.version()
+        now = self._read(v)
+        marks = dict(now["marks"])
+        for name, t in (("oldest", oldest), ("stable", stable)):
+            if t is not None:
+                if t < marks.get(name, t):
+                    raise ValueError(f"{name} is {marks[name]} already")
+                marks[name] = t
+        if "stable" in marks and marks.get("oldest", marks["stable"]) > marks["stable"]:
+            raise ValueError("oldest would be after stable")
+        self._commit(v, now["tables"], None, marks)
+
+    def version_at(self, time: int) -> int:
+        """The newest version committed at or before a time; times only rise, so half of the rest is left each step."""
+        if time < self.timestamps().get("oldest", time):
+            raise ValueError(f"time {time} is before the oldest")
+        every = self.versions()
+        n = bisect.bisect_right(every, time, key=lambda v: self._read(v)["time"])
+        if not n:
+            raise NotFound(f"no version at time {time}")
+        return every[n - 1]
+
+    def begin(self, at: int | None = None, time: int | None = None) -> Transaction:
+        """at: read that version, time: the newest at that time (one on an old version can't commit changes)."""
+        if time is not None:
+            at = self.version_at(time)
         return Transaction(self, self.version() if at is None else at)
 
     def tables(self) -> list[str]:
@@ -188,9 +249,18 @@ class Transaction:
             raise NotFound(f"{n} keys")
         self._put(name, old.join(keys.select(key), key, "left_anti").select(*old.columns))
 
-    def commit(self) -> int:
+    def commit(self, time: int | None = None) -> int:
+        """time: of the commit, after that of the version before."""
+        if not self.changed:
+            self.over = True
+            return self.version
+        try:
+            done = self.store._commit(self.version, self.base, time, None)
+        except Conflict:
+            self.rollback()
+            raise
         self.over = True
-        return self.store._commit(self.version, self.base) if self.changed else self.version
+        return done
 
     def rollback(self) -> None:
         self.over = True

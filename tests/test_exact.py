@@ -37,3 +37,28 @@ def test_copies(spark, kind, noise):
         for t in exact.search(v.where("id < 3"), v, 10, kind, self_free=free).orderBy("qid", "rank").collect():
             got.setdefault(t["qid"], []).append((t["rank"], t["id"], t["distance"]))
         assert got == brute(x, kind, 10, free)
+
+
+def test_many_queries_go_by_a_grid(spark, monkeypatch):
+    """Exact, coded and graph search and distance loss: the same rows by blocks of queries and documents."""
+    from nearfield.operators import coded, evaluate, graph
+    from nearfield.plans import blocks
+
+    x = np.random.default_rng(5).normal(size=(240, 16)).astype(np.float32)
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "id long, vec array<float>")
+    q = v.where("id % 3 = 0")
+    c = coded.encode(v, "tlvq4", 16)
+    index = graph.build(v, graph.Config(16, nav_coding="f32", beam=32), rows_a_shard=100)
+    runs = {
+        "exact": lambda: exact.search(q, v, 4, self_free=True), "coded": lambda: coded.search(q, c, 4, "tlvq4", 16).selectExpr("qid", "rank", "id", "round(distance, 9)"),
+        "graph": lambda: graph.search(index, q, 4), "loss": lambda: evaluate.distance_loss(q, v, "tlvq4", 16).selectExpr("n", "round(mae, 9)", "round(mse, 9)", "within"),
+    }
+    whole = {n: sorted(map(tuple, f().collect())) for n, f in runs.items()}
+    monkeypatch.setattr(blocks.against_all, "__defaults__", (100, 2000))
+    monkeypatch.setattr(graph, "QUERY_BYTES", 100)
+    monkeypatch.setattr(graph, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "QUERIES", 7)
+    for n, f in runs.items():
+        assert sorted(map(tuple, f().collect())) == whole[n], n
+    none = v.where("false")
+    assert exact.search(none, v, 3).count() == exact.search(q, none, 3).count() == 0

@@ -108,9 +108,88 @@ def test_coding_recall_with_centers(spark):
 
 
 def test_stream_ingest(spark, tmp_path):
-    v = frame(spark, blobs([30, 30]))
-    ingest.start(P.bulk_load(v.where("id < 20"), P.Config(2, min_len=1, max_len=100)), str(tmp_path / "index"))
+    v, root = frame(spark, blobs([30, 30])), str(tmp_path / "index")
+    ingest.start(P.bulk_load(v.where("id < 20"), P.Config(2, min_len=1, max_len=100)), root)
     v.where("id >= 20").coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(v.schema).parquet(str(tmp_path / "in"))
-    ingest.ingest(s, str(tmp_path / "index"), str(tmp_path / "cp")).awaitTermination()
-    assert P.Index.load(spark, str(tmp_path / "index/v1")).postings.count() == 60
+    ingest.ingest(s, root, str(tmp_path / "cp")).awaitTermination()
+    assert P.Index.load(spark, f"{root}/v1").postings.count() == 60
+    frame(spark, blobs([5]), 100).write.parquet(str(tmp_path / "more"))
+    s = spark.readStream.schema(v.schema).parquet(str(tmp_path / "more"))
+    ingest.ingest(s, root, str(tmp_path / "other")).awaitTermination()  # batch 0 of another stream goes on from v1
+    assert ingest.versions(spark, root)[-1] >= 2 and ingest.latest(spark, root).postings.count() == 65
+    assert P.Index.load(spark, f"{root}/v1").postings.count() == 60
+    s = spark.readStream.schema(v.schema).parquet(str(tmp_path / "more"))
+    with pytest.raises(Exception, match="already"):
+        ingest.ingest(s, root, str(tmp_path / "third")).awaitTermination()
+
+
+def brute_moves(rows, old, after, pairs, gone):
+    """The rules, vector by vector."""
+    out = {}
+    dist = lambda a, b: float(((a - b) ** 2).sum())
+    fresh = [i for p in pairs.values() for i in p]
+    for i, c, x in rows:
+        if c in gone:
+            everywhere = min(after, key=lambda k: (dist(x, after[k]), k))
+            if c in pairs:
+                a, b = pairs[c]
+                da, db = dist(x, after[a]), dist(x, after[b])
+                out[i] = everywhere if dist(x, old[c]) < min(da, db) else a if da < db else b
+            else:
+                out[i] = everywhere
+        elif fresh:
+            best = min(fresh, key=lambda k: (dist(x, after[k]), k))
+            if dist(x, after[best]) < dist(x, old[c]):
+                out[i] = best
+    return {i: c for i, c in out.items() if c != dict((i, c) for i, c, _ in rows)[i]}
+
+
+def test_moves_against_the_rules(spark):
+    """A split, a merge and lists nearby at once: small whole coordinates, so that there are ties."""
+    r = np.random.default_rng(7)
+    x = r.integers(-6, 7, (300, 2)).astype(float)
+    old = {c: v for c, v in enumerate(r.integers(-6, 7, (6, 2)).astype(float))}
+    own = [min(old, key=lambda c: (((v - old[c]) ** 2).sum(), c)) for v in x]
+    pairs, gone = {2: (10, 11)}, {2, 4}
+    after = {c: v for c, v in old.items() if c not in gone} | {10: old[2] + [2, 0], 11: old[2] - [1, 1]}
+    rows = [(i, c, v) for i, (c, v) in enumerate(zip(own, x, strict=True))]
+    d = spark.createDataFrame([(i, c, v.tolist()) for i, c, v in rows], "id long, centroid_id long, vec array<float>")
+    got = {r["id"]: r["to"] for r in P.moves(d, old, after, pairs, gone).collect()}
+    want = brute_moves(rows, old, after, pairs, gone)
+    assert got == want and len(want) > 30
+
+
+def test_many_clusters_in_bounded_memory(spark):
+    """Over ten thousand clusters: no split sees more than its sample, and no list is left over the bound."""
+    x = np.random.default_rng(4).normal(size=(22_000, 3)).astype(np.float32)
+    v = frame(spark, x).repartition(4).cache()
+    tree = km.hierarchical(v, 1, 2, sample=512)
+    assert len(tree) > 10_000
+    v.unpersist()
+
+
+def test_hierarchical_sizes(spark):
+    x = blobs([5, 40, 200])
+    c = km.hierarchical(frame(spark, x), 10, 50)
+    n = np.bincount(km.nearest(x, c)[0], minlength=len(c))
+    assert n.sum() == 245 and n.max() <= 60
+    with pytest.warns(UserWarning, match="can't be split"):
+        assert len(km.hierarchical(frame(spark, np.ones((30, 2))), 2, 5)) == 1
+
+
+def test_binary_partition_moves_its_border():
+    """A far group of three rows: the border is moved until each side has what it needs."""
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=(97, 4)), 50 + r.normal(size=(3, 4))])
+    for least in (1, 3, 20, 50):
+        c = km.binary_partition(x, least, 50, np.random.default_rng(0))
+        assert np.bincount(km.nearest(x, c)[0], minlength=2).min() >= least
+
+
+def test_search_of_a_list_in_parts(spark, monkeypatch):
+    v = frame(spark, blobs([50, 50]))
+    index = P.bulk_load(v, P.Config(2, min_len=5, max_len=30))
+    whole = sorted(map(tuple, P.search(index, v, 3, "top_n:2").collect()))
+    monkeypatch.setattr(P, "WANTED", 7)
+    assert sorted(map(tuple, P.search(index, v, 3, "top_n:2").collect())) == whole

@@ -107,3 +107,39 @@ def test_store(spark, tmp_path):
     with pytest.raises(NotFound):
         s.drop("u")
     s.drop("u", force=True)
+
+
+def test_store_times(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.create("t", "k long, v string")
+    row = lambda *r: spark.createDataFrame(r, "k long, v string")
+    first = s.time()
+    a = s.begin()
+    a.set("t", row((1, "a")))
+    a.commit(time=10)
+    b = s.begin()
+    b.set("t", row((1, "b")))
+    with pytest.raises(ValueError, match="not after"):
+        b.commit(time=10)
+    b.commit(time=20)
+    assert first < s.time(s.version() - 1) == 10 and s.time() == 20
+    at = lambda t: [r["v"] for r in s.begin(time=t).scan("t").collect()]
+    assert at(first) == [] and at(10) == at(19) == ["a"] and at(20) == at(99) == ["b"]
+    with pytest.raises(NotFound):
+        s.begin(time=-1)
+    s.set_timestamps(oldest=12, stable=15)
+    assert s.timestamps() == {"oldest": 12, "stable": 15} and s.time() == 21
+    with pytest.raises(ValueError, match="oldest"):
+        s.begin(time=11)
+    with pytest.raises(ValueError, match="already"):
+        s.set_timestamps(stable=14)
+    with pytest.raises(ValueError, match="after stable"):
+        s.set_timestamps(oldest=16)
+    assert not [f for f in (tmp_path / "s" / "manifest").iterdir() if f.name.endswith(".tmp")]
+
+
+def test_a_crash_before_the_rename_leaves_the_last_version(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.create("t", "k long, v string")
+    (tmp_path / "s" / "manifest" / "0123.tmp").write_text("{half")
+    assert s.tables() == ["t"] and s.version() == 1
