@@ -131,14 +131,18 @@ def write(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     p = p.withColumn("n", F.octet_length(F.coalesce("html", F.lit(""))))
     # Of each payload: which page has the largest id, and whether there are equal rows at all.
     each = p.groupBy("key", "page_id", "url").agg(F.count("*").alias("c"))
-    about = each.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("top"), (F.max("c") > 1).alias("repeated"))
-    p = p.join(about, "key").withColumn("to", F.when((F.col("n") >= DEDUP) & (F.col("top.page_id") != F.col("page_id")), F.col("top.page_id")))
+    about = durable(each.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("top"), (F.max("c") > 1).alias("repeated")), "about")
     tag = lambda url: F.concat(F.substring("key", 1, 16), F.lit("-"), F.lower(F.hex(F.crc32(F.coalesce(url, F.lit(""))))))
-    p = p.withColumn("tag", tag(F.col("url"))).withColumn("to_tag", tag(F.col("top.url")))
+
+    def told(about: DataFrame) -> DataFrame:
+        to = F.when((F.col("n") >= DEDUP) & (F.col("top.page_id") != F.col("page_id")), F.col("top.page_id"))
+        return p.join(about, "key").withColumn("to", to).withColumn("tag", tag(F.col("url"))).withColumn("to_tag", tag(F.col("top.url")))
+
     cols = ["page_id", "url", "html", "to", "tag", "to_tag", "start", "copies"]
-    one = p.where("not repeated").select(*cols[:-2], F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("copies"))
+    one = told(about.where("not repeated").hint("merge")).select(*cols[:-2], F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("copies"))
     # Equal rows become one with a count, which is written in runs of COPIES by many tasks.
-    many = p.where("repeated").groupBy("key", "page_id", "url", "to", "tag", "to_tag").agg(F.first("html").alias("html"), F.count("*").alias("c"))
+    # The payloads that repeat are few as a rule; as a table of their own Spark sees that, and moves no page to find theirs.
+    many = told(durable(about.where("repeated"), "repeated")).groupBy("key", "page_id", "url", "to", "tag", "to_tag").agg(F.first("html").alias("html"), F.count("*").alias("c"))
     many = many.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(COPIES).cast("long"))))
     many = many.withColumn("copies", F.least(F.lit(COPIES), F.col("c") - F.col("start"))).select(*cols).repartition("page_id", "tag", "start")
 
