@@ -428,6 +428,70 @@ def test_shards(spark, tables):
     assert set(by) <= set(range(8))
 
 
+def places(rows):
+    """Place of each text along length, width and lines, in whole numbers, from the definition."""
+    import math
+
+    import xxhash
+
+    raw = [(t or "").encode() for t in rows]
+    value = [[math.log2(len(r) + 1.0) for r in raw], [(len(r) - len(r.decode())) / max(len(r), 1) for r in raw], [float(r.count(b"\n")) for r in raw]]
+    top = (1 << 26) - 1
+    out = []
+    for v in value:
+        low, high = min(v), max(v)
+        scaled = [math.floor(min(1.0, max(0.0, (x - low) / ((high - low) or 1.0))) * top) for x in v]
+        out.append([(s << 36) + (xxhash.xxh64_intdigest(r, seed=42) >> 28) for s, r in zip(scaled, raw, strict=True)])
+    return np.array(out, float).T, np.array([len(r) + 1 for r in raw], float)
+
+
+@pytest.mark.parametrize("kind", ["fixture", "many"])
+def test_shards_are_a_tree_of_weighted_medians(spark, tables, kind):
+    """Every split of the numbers in halves is a cut along the widest dimension, at the median but for one text's weight."""
+    import random
+
+    r = random.Random(9)
+    given = [*texts(), texts()[4]] if kind == "fixture" else ["é" * r.randrange(9) + "x" * int(10 ** r.uniform(0, 3)) + "\n" * r.choice([0, 0, 0, 5]) for _ in range(3000)]
+    d = docs(spark, tables).select("text") if kind == "fixture" else spark.createDataFrame([(t,) for t in given], "text string")
+    d = d.select(mixing.F.monotonically_increasing_id().alias("doc_id"), "text")
+    text = {q["doc_id"]: q["text"] for q in d.collect()}
+    rows = kdshards.shards(d, leaves=8).collect()
+    where, size = places([text[q["doc_id"]] for q in rows])
+    shard = np.array([q["shard"] for q in rows])
+    cuts = 0
+
+    def look(at, first, leaves):
+        nonlocal cuts
+        if leaves == 1 or len(np.unique(where[at], axis=0)) < 2:
+            assert (shard[at] == shard[at][0]).all()
+            return
+        left = at & (shard < first + leaves // 2)
+        dim = int(np.argmax(where[at].std(0)))
+        right = at & ~left
+        if left.any() and right.any():
+            assert where[left, dim].max() < where[right, dim].min()
+            cuts += 1
+        group = Counter()
+        for w, s in zip(where[at, dim], size[at], strict=True):
+            group[w] += s
+        assert abs(size[left].sum() - size[at].sum() * (leaves // 2) / leaves) <= max(max(group.values()), 0.001 * size[at].sum())
+        for side, start, n in ((left, first, leaves // 2), (right, first + leaves // 2, leaves - leaves // 2)):
+            if side.any():
+                look(side, start, n)
+
+    look(np.ones(len(rows), bool), 0, 8)
+    assert cuts >= 4
+
+
+def test_many_shards(spark):
+    """A thousand leaves: few parts a node in each round, and every leaf near the target."""
+    from pyspark.sql import functions as F
+
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w "), F.col("id")), (F.col("id") % 13 + 1).cast("int")).alias("text"))
+    n = [r["n"] for r in kdshards.shards(d, leaves=700).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(n) == 700 and max(n) < 1.5 * sum(n) / 700
+
+
 def test_shards_are_near_equal(spark):
     from pyspark.sql import functions as F
 

@@ -197,3 +197,26 @@ def test_evolved_bins_hold_everything(sizes, seed):
     assert len(bins) <= len(plain)
     child = packing.crossover(bins, plain, sizes, 100, rng)
     assert sorted(x for b in child for x in b) == list(range(len(sizes)))
+
+
+def test_the_genetic_algorithm_beats_best_fit():
+    """Bins of exactly three: best fit needs more than the bound, crossover and mutation find bins that it doesn't."""
+    rng, won, ran = random.Random(3), 0, 0
+    for _ in range(4):
+        sizes = []
+        for _ in range(25):
+            a, b = rng.randrange(26, 45), rng.randrange(26, 45)
+            sizes += [a, b, 100 - a - b]
+        plain = packing.best_fit(list(range(75)), sizes, [], 100)
+        calls = []
+        whole = packing.crossover
+        packing.crossover = lambda *x: calls.append(1) or whole(*x)  # noqa: B023
+        try:
+            bins = packing.evolve(sizes, 100, [], rng, generations=60, population=8)
+        finally:
+            packing.crossover = whole
+        assert sorted(x for b in bins for x in b) == list(range(75)) and all(sum(sizes[x] for x in b) <= 100 for b in bins)
+        assert 25 <= len(bins) <= len(plain)
+        won += len(bins) < len(plain)
+        ran += len(calls) > 10
+    assert won >= 2 and ran >= 2
