@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import argparse
 import json
-import time
+import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.similarity import parse as parse_similarity
 from nearfield.operators import coded, evaluate, exact, graph
 from nearfield.operators import partitioned as P
+from nearfield.plans.durable import durable
 from nearfield.sources import vectors as files
 
 
@@ -36,17 +38,17 @@ def show(df: DataFrame) -> None:
         print(json.dumps(r.asDict(recursive=True), default=str))
 
 
-def report(found: DataFrame, a: argparse.Namespace, spark: SparkSession, began: float) -> None:
-    """Search output: rows, or recall against a ground-truth file."""
+def report(run: Callable[[], DataFrame], a: argparse.Namespace, spark: SparkSession) -> None:
+    """Search output: the rows, or with --iterations or a ground-truth file a line for every round of the driver."""
+    truth = None
     if a.recall_k and a.neighbors:
         truth = files.read_truth(spark, a.neighbors)
         evaluate.check_k(truth, a.recall_k)
-        found = found.persist()
-        truth = truth.join(found.select("qid").distinct(), "qid", "left_semi")
-        show(evaluate.summarize(evaluate.recall(found, truth, a.recall_k), evaluate.depth(found, truth, a.recall_k)))
-        print(json.dumps({"queries": found.select("qid").distinct().count(), "seconds": round(time.time() - began, 3)}))
-    else:
-        show(found.orderBy("qid", "rank"))
+    if truth is None and not a.iterations:
+        show(run().orderBy("qid", "rank"))
+        return
+    for row in evaluate.drive(run, truth, a.recall_k or 0, a.warmup, a.iterations or 1):
+        print(json.dumps(row))
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -66,14 +68,22 @@ def _meta(spark: SparkSession, path: str) -> dict:
 
 
 def flat_insert(spark: SparkSession, a: argparse.Namespace) -> None:
-    m = _meta(spark, a.index)
-    coded.encode(load(spark, a), m["coding"], m["dims"], m["similarity"]).write.mode("append").parquet(f"{a.index}/codes")
+    """Ids that are in the index already are replaced; an index is rewritten only then."""
+    m, path = _meta(spark, a.index), f"{a.index}/codes"
+    new = coded.encode(load(spark, a), m["coding"], m["dims"], m["similarity"])
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        old = spark.read.parquet(path)
+        if not old.join(new.select("id"), "id", "left_semi").isEmpty():
+            durable(old.join(new.select("id"), "id", "left_anti").select("id", "code").union(new), "codes").write.mode("overwrite").parquet(path)
+            return
+    new.write.mode("append").parquet(path)
 
 
 def flat_search(spark: SparkSession, a: argparse.Namespace) -> None:
-    m, began = _meta(spark, a.index), time.time()
-    rows = spark.read.parquet(f"{a.index}/codes").dropDuplicates(["id"])
-    report(coded.search(load(spark, a, "queries"), rows, a.k, m["coding"], m["dims"], m["similarity"]), a, spark, began)
+    m = _meta(spark, a.index)
+    rows = spark.read.parquet(f"{a.index}/codes")
+    report(lambda: coded.search(load(spark, a, "queries"), rows, a.k, m["coding"], m["dims"], m["similarity"]), a, spark)
 
 
 # spann
@@ -98,8 +108,14 @@ def spann_insert(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def spann_search(spark: SparkSession, a: argparse.Namespace) -> None:
-    began = time.time()
-    report(P.search(P.Index.load(spark, a.index), load(spark, a, "queries"), a.k, a.selector, a.num_rerank), a, spark, began)
+    index = P.Index.load(spark, a.index)
+
+    def run() -> DataFrame:
+        q = load(spark, a, "queries")
+        found = P.search(index, q, a.k, a.selector, a.num_rerank)
+        return found.join(P.search_stats(index, q, a.selector), "qid") if a.iterations or a.recall_k else found
+
+    report(run, a, spark)
 
 
 def spann_stats(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -161,9 +177,9 @@ def vamana_insert(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def vamana_search(spark: SparkSession, a: argparse.Namespace) -> None:
-    began = time.time()
     keep = (lambda i: i < a.record_limit) if a.record_limit is not None else None
-    report(graph.search(load_graph(spark, a.index), load(spark, a, "queries"), a.k, keep, num_rerank=a.num_rerank), a, spark, began)
+    index = load_graph(spark, a.index)
+    report(lambda: graph.search(index, load(spark, a, "queries"), a.k, keep, num_rerank=a.num_rerank), a, spark)
 
 
 def vamana_lookup(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -180,11 +196,17 @@ def vamana_reachability(spark: SparkSession, a: argparse.Namespace) -> None:
 # others
 
 
+def same_file(a: str, b: str) -> bool:
+    """Whether two paths are one file, however they are written."""
+    real = lambda p: p if "://" in p.removeprefix("file://") else os.path.realpath(p.removeprefix("file://"))
+    return real(a) == real(b)
+
+
 def neighbors(spark: SparkSession, a: argparse.Namespace) -> None:
     """The query's own id is left out only if both files are the same."""
     q = load(spark, a, "queries")
     q = q if a.query_limit is None else q.where(F.col("id") < a.query_limit)
-    found = exact.search(q, load(spark, a), a.k, a.similarity, self_free=a.queries == a.vectors)
+    found = exact.search(q, load(spark, a), a.k, a.similarity, self_free=same_file(a.queries, a.vectors))
     files.write_truth(found, a.output)
 
 
@@ -238,7 +260,7 @@ def parser() -> argparse.ArgumentParser:
     target = arg("--target", required=True, help="folder of the new version")
     sim = arg("--similarity", default="l2")
     code = arg("--coding", default="f32")
-    found = [arg("--k", type=int, default=10), arg("--recall-k", type=int), arg("--neighbors")]
+    found = [arg("--k", type=int, default=10), arg("--recall-k", type=int), arg("--neighbors"), arg("--warmup", type=int, default=0), arg("--iterations", type=int)]
     made = [arg("--dimensions", type=int, required=True), sim, code, arg("--rerank-coding", default="f32")]
     lists = [*made, arg("--min-len", type=int, default=192), arg("--max-len", type=int, default=512)]
     edges = [*made, arg("--max-edges", type=int, default=32), arg("--max-alpha", type=float, default=1.2), arg("--alpha-scale", type=float, default=1.2), arg("--beam", type=int, default=128), arg("--directed", action="store_true")]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.coding import Coding, coding
 from nearfield.functions.similarity import block
 from nearfield.plans.blocks import against_all, matrix
+from nearfield.plans.durable import durable
 
 
 def recall(results: DataFrame, truth: DataFrame, k: int, cut: bool = False) -> DataFrame:
@@ -132,3 +134,28 @@ def search_report(stats: DataFrame) -> DataFrame:
     """One row over per-query rows with seconds, recall and any counters: count, total and greatest time, sums, mean recall."""
     sums = [F.sum(c).alias(c) for c in stats.columns if c not in ("qid", "seconds", "recall")]
     return stats.agg(F.count("*").alias("queries"), F.sum("seconds").alias("total_seconds"), F.max("seconds").alias("max_seconds"), *sums, F.avg("recall").alias("recall"))
+
+
+def drive(run: Callable[[], DataFrame], truth: DataFrame | None = None, k: int = 10, warmup: int = 1, iterations: int = 1) -> list[dict]:
+    """Search again and again: warm-up rounds that count for nothing, then a report of each round.
+
+    run: a new search (qid, rank, id, and any counters, which are those of a query in each of its rows).  A report holds the
+    queries, seconds and milliseconds a query of the whole round, the counters' sums over queries, and with ground truth
+    recall and depth.
+    """
+    out = []
+    for turn in range(warmup + iterations):
+        began = time.perf_counter()
+        found = durable(run(), "found")
+        seconds = time.perf_counter() - began
+        if turn < warmup:
+            continue
+        counters = [c for c in found.columns if c not in ("qid", "rank", "id", "distance")]
+        per = found.groupBy("qid").agg(*[F.max(c).alias(c) for c in counters])
+        row = per.agg(F.count("*").alias("queries"), *[F.sum(c).alias(c) for c in counters]).first().asDict()
+        row |= {"iteration": turn - warmup, "seconds": round(seconds, 4), "ms_a_query": round(1000 * seconds / max(1, row["queries"]), 3)}
+        if truth is not None:
+            t = truth.join(found.select("qid").distinct(), "qid", "left_semi")
+            row |= summarize(recall(found, t, k), depth(found, t, k)).first().asDict()
+        out.append(row)
+    return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import time
 from collections import deque
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
@@ -57,6 +58,7 @@ class Stats:
     visited: int = 0
     filtered: int = 0
     skipped: int = 0
+    micros: int = 0  # of the search alone, without loading the shard
 
 
 def prune(edges: list[tuple[float, int]], between: np.ndarray, max_edges: int, max_alpha: float, scale: float) -> list[int]:
@@ -420,7 +422,7 @@ def mutate(index: Index, upserts: DataFrame | None = None, deletes: DataFrame |
     return Index(config, rows, center, shards)
 
 
-COUNTERS = ("visited", "added", "candidates", "filtered", "skipped")
+COUNTERS = ("visited", "added", "candidates", "filtered", "skipped", "micros")
 FOUND = "qid long, id long, distance double, " + ", ".join(f"{c} long" for c in COUNTERS)
 
 
@@ -430,7 +432,9 @@ def _ask(g: Graph, ids: np.ndarray, q: np.ndarray, keep, seeds: tuple, rerank: i
 
     out: tuple = tuple([] for _ in range(3 + len(COUNTERS)))
     for qid, v in zip(ids.tolist(), q, strict=True):
+        began = time.perf_counter()
         found = g.search(v, keep, seeds, rerank=rerank)[:k]
+        g.stats.micros = int(1e6 * (time.perf_counter() - began))
         counters = [getattr(g.stats, c) for c in COUNTERS]
         for d, i in found:
             for o, x in zip(out, (qid, i, d, *counters), strict=True):
@@ -443,7 +447,7 @@ def search(index: Index, queries: DataFrame, k: int, keep: Callable[[int], bool]
     """queries: id, vec.  qid, rank, id, distance, and the counters of the search in the row's shard.
 
     visited: vertices expanded; added: taken into the list; candidates: scored; filtered, skipped: left out by keep, not
-    there.  keep: predicate on ids; vertices that fail are expanded but not returned.  Queries of up to QUERY_BYTES go to
+    there; micros: microseconds that it took.  keep: predicate on ids; vertices that fail are expanded but not returned.  Queries of up to QUERY_BYTES go to
     every shard's task; more of them are dealt to blocks, and a shard is asked once for each block.
     """
     config, center, seeds = index.config, index.center, tuple(seeds)

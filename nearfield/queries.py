@@ -120,7 +120,9 @@ _WORD = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN e[i] > 0 AND
 
 @query("binary_encode", f"WITH {V} SELECT id, CAST({_WORD} AS BIGINT) AS word FROM v")
 def binary_encode(spark: SparkSession, sf: str) -> DataFrame:
-    return both(spark, sf)[1].select("id", sim.sign_words("vec", DIMS)[0].alias("word"))
+    code = coded.encode(both(spark, sf)[1], "binary", DIMS)
+    last_first = F.concat(*[F.substring("code", i, 1) for i in range(DIMS // 8, 0, -1)])
+    return code.select("id", F.conv(F.hex(last_first), 16, -10).cast("long").alias("word"))
 
 
 _HAMMING = f"WITH {V}, w AS (SELECT id, CAST({_WORD} AS BIGINT) AS word FROM v), d AS (SELECT q.id AS qid, w.id AS id, bit_count(xor(q.word, w.word)) / 64.0::DOUBLE AS distance FROM w q, w WHERE q.id % {EVERY} = 0)"
@@ -192,10 +194,10 @@ _MAG = "list_transform(e, lambda x: abs(x))"
 
 @query("quiver_encode", f"WITH {V}, t AS (SELECT id, e, list_sum({_MAG}) / 64 AS tau FROM v) SELECT id, CAST(len(list_filter(e, lambda x: abs(x) > tau)) AS INTEGER) AS strong, CAST(len(list_filter(e, lambda x: x >= 0)) AS INTEGER) AS positive FROM t")
 def quiver_encode(spark: SparkSession, sf: str) -> DataFrame:
-    v = both(spark, sf)[1].select("id", F.col("vec").cast("array<double>").alias("vec"))
-    tau = F.aggregate(F.transform("vec", F.abs), F.lit(0.0), lambda s, x: s + x) / DIMS
-    v = v.withColumn("tau", tau)
-    return v.select("id", F.size(F.filter("vec", lambda x: F.abs(x) > F.col("tau"))).alias("strong"), F.size(F.filter("vec", lambda x: x >= 0)).alias("positive"))
+    """Read off the coder's bytes, decoded: components of the strong level, and those with a plus sign."""
+    v = coded.decode(coded.encode(both(spark, sf)[1], "QuIVer", DIMS), "QuIVer", DIMS)
+    v = v.withColumn("top", F.array_max(F.transform("vec", F.abs)))
+    return v.select("id", F.size(F.filter("vec", lambda x: F.abs(x) == F.col("top"))).alias("strong"), F.size(F.filter("vec", lambda x: x >= 0)).alias("positive"))
 
 
 @query("l2_normalize", f"WITH {V} SELECT id, list_transform(e, lambda x: x / sqrt({_dot('e', 'e')})) AS unit FROM v")
@@ -245,7 +247,9 @@ def assign_centroids(spark: SparkSession, sf: str) -> DataFrame:
 def lloyd_step(spark: SparkSession, sf: str) -> DataFrame:
     _, v = both(spark, sf)
     ids, x = small(_centroids(spark, sf), "centroid_id", "cvec")
-    return km.mean_vector(v.join(km.assign(v, ids, x).select("id", "centroid_id"), "id"), ["centroid_id"]).withColumn("mean", F.round("mean", 6))
+    means, counts = km.update(v, x)
+    rows = [(int(i), p, float(m)) for i, r, n in zip(ids, means, counts, strict=True) if n for p, m in enumerate(r)]
+    return spark.createDataFrame(rows, "centroid_id long, pos int, mean double").withColumn("mean", F.round("mean", 6))
 
 
 @query("mean_center", f"WITH {V}, u AS (SELECT unnest(range(0, 64)) AS pos, unnest(e) AS x FROM v) SELECT CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean FROM u GROUP BY 1")
@@ -411,6 +415,21 @@ for _name in ("f16", "tlvq1", "tlvq2", "tlvq4", "tlvq8", "tlvq1x8", "tlvq2x8", "
     query(f"{_name.lower()}_knn")(_coded_knn(_name))
 
 
+def _coded_rerank(name: str, times: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        q, v = both(spark, sf)
+        found = coded.search(q, coded.encode(v, name, DIMS), K * times, name, DIMS)
+        return coded.rerank(found, q, v, K * times, K)
+
+    return run
+
+
+#: The nearest by codes, `times` as many as asked for, and of these the nearest by the vectors: the exact answer, if the
+#: coding is as fine as it should be.
+for _name, _times in (("f16", 2), ("tlvq8", 2), ("tlvq1x8", 2), ("tlvq2x8", 2), ("tlvq4x8", 2), ("tlvq8x8", 2), ("tlvq4", 4), ("tlvq2", 12), ("tlvq1", 30), ("QuIVer", 30)):
+    query(f"{_name.lower()}_rerank", _knn("l2"))(_coded_rerank(_name, _times))
+
+
 @query("rotate_knn", _knn("l2").replace("SELECT qid, rank, id, distance FROM", "SELECT qid, rank, id FROM", 1))
 def rotate_knn(spark: SparkSession, sf: str) -> DataFrame:
     """Rotation keeps distances, so the neighbors of rotated vectors are those of the vectors."""
@@ -431,6 +450,29 @@ def bulk_load_search(spark: SparkSession, sf: str) -> DataFrame:
     return P.search(P.bulk_load(v, P.Config(DIMS, min_len=LEAST, max_len=MOST)), q, K, "top_n:4")
 
 
+@query("bulk_load_search_all_lists", _knn("l2"))
+def bulk_load_search_all_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Whatever the lists are: together they hold every vector once, so reading all gives the exact answer."""
+    q, v = both(spark, sf)
+    return _exactly(P.search(P.bulk_load(v, P.Config(DIMS, min_len=LEAST, max_len=MOST)), q, K, "top_n:1000000"), spark, sf)
+
+
+@query("insert_rebalance_all_lists", _knn("l2"))
+def insert_rebalance_all_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after half of the vectors came later and lists were split and merged."""
+    q, v = both(spark, sf)
+    index = P.bulk_load(v.where("id % 2 = 0"), P.Config(DIMS, min_len=LEAST, max_len=MOST))
+    return _exactly(P.search(P.insert(index, v.where("id % 2 = 1"))[0], q, K, "top_n:1000000"), spark, sf)
+
+
+@query("rebalance_ids", "SELECT vec_id AS id, CAST(1 AS BIGINT) AS lists FROM embeddings")
+def rebalance_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """How many lists hold each id after a rebalancing with tighter bounds."""
+    index = P.bulk_load(both(spark, sf)[1], P.Config(DIMS, min_len=LEAST, max_len=MOST))
+    index.config = P.Config(DIMS, min_len=LEAST // 2, max_len=MOST // 2)
+    return P.rebalance(index, passes=3)[0].postings.groupBy("id").agg(F.count("*").alias("lists"))
+
+
 @query("insert_rebalance")
 def insert_rebalance(spark: SparkSession, sf: str) -> DataFrame:
     _, v = both(spark, sf)
@@ -442,17 +484,29 @@ def insert_rebalance(spark: SparkSession, sf: str) -> DataFrame:
 @query("graph_search")
 def graph_search(spark: SparkSession, sf: str) -> DataFrame:
     q, v = both(spark, sf)
-    return graph.search(graph.build(v, graph.Config(DIMS, nav_coding="f32", beam=64)), q, K)
+    found = graph.search(graph.build(v, graph.Config(DIMS, nav_coding="f32", beam=64)), q, K)
+    return found.select("qid", "rank", "id", "distance", "visited")
+
+
+def _mutated(v: DataFrame) -> graph.Index:
+    index = graph.build(v.where("id % 3 <> 2"), graph.Config(DIMS, nav_coding="f32", beam=32), rows_a_shard=1000)
+    index = graph.mutate(index, v.where("id % 3 = 2"))
+    return graph.mutate(index, deletes=v.where("id % 10 = 3").select("id"))
 
 
 @query("graph_mutate")
 def graph_mutate(spark: SparkSession, sf: str) -> DataFrame:
     """Two thirds of the table built, the rest inserted, and then a tenth of all ids deleted, old and new."""
     q, v = both(spark, sf)
-    index = graph.build(v.where("id % 3 <> 2"), graph.Config(DIMS, nav_coding="f32", beam=32), rows_a_shard=1000)
-    index = graph.mutate(index, v.where("id % 3 = 2"))
-    index = graph.mutate(index, deletes=v.where("id % 10 = 3").select("id"))
-    return graph.search(index, q, K)
+    return graph.search(_mutated(v), q, K).select("qid", "rank", "id", "distance", "visited")
+
+
+@query("graph_mutate_vertices", "SELECT vec_id AS id, CAST(1 AS BIGINT) AS vertices, true AS sound FROM embeddings WHERE vec_id % 10 <> 3")
+def graph_mutate_vertices(spark: SparkSession, sf: str) -> DataFrame:
+    """Vertices of the graph that graph_mutate searches: each id once, no list over the bound, no edge to what is gone."""
+    rows = _mutated(both(spark, sf)[1]).rows
+    fine = (F.size("edges") <= 32) & F.forall("edges", lambda e: (e % 10 != 3) & (e != F.col("id")))
+    return rows.groupBy("id").agg(F.count("*").alias("vertices"), F.bool_and(fine).alias("sound"))
 
 
 @query("generate_vectors", "SELECT count(*) AS n, 1000 AS unit FROM range(1000)")

@@ -37,5 +37,13 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["edges"]
     run("vamana", "search", "--index", f"{d}/g2", "--queries", f"{d}/v", "--dims", "8", "--record-limit", "10", "--k", "2")
     assert {json.loads(x)["id"] < 10 for x in capsys.readouterr().out.splitlines()} == {True}
+    run("vamana", "search", "--index", f"{d}/g2", "--queries", f"{d}/v", "--dims", "8", "--k", "9", "--recall-k", "5", "--neighbors", f"{d}/t", "--warmup", "1", "--iterations", "2")
+    rounds = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [r["iteration"] for r in rounds] == [0, 1]
+    assert all(r["recall"] > 0.9 and r["ms_a_query"] > 0 and r["visited"] > 0 and r["queries"] >= 80 for r in rounds)
+    run("spann", "search", "--index", f"{d}/s2", "--queries", f"{d}/v", "--dims", "8", "--k", "5", "--iterations", "1")
+    assert json.loads(capsys.readouterr().out)["vectors_read"] > 80
+    run("flat", "insert-vectors", "--index", f"{d}/flat", "--vectors", f"{d}/v", "--dims", "8", "--count", "10")
+    assert spark.read.parquet(f"{d}/flat/codes").count() == spark.read.parquet(f"{d}/flat/codes").select("id").distinct().count() >= 80
     run("spann", "drop-index", "--index", f"{d}/s")
     assert not (tmp_path / "s").exists()
