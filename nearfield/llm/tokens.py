@@ -75,7 +75,6 @@ class Encoder:
 
         if len(self.memo) > self.most:
             self.memo = dict(islice(self.memo.items(), self.most // 2))
-            return
         plain = []
         for p in new:
             if "<|" not in p and _PLAIN.fullmatch(p):
@@ -92,13 +91,25 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers, without an end id; null is empty."""
-        parts = [self.parts(t) if t else [] for t in texts]
-        new = set().union(*parts).difference(self.memo)
-        while new:
+        get, out, new, lacking = self.memo.get, [], set(), []
+        for t in texts:  # words are looked up while they are at hand; None for those not met yet
+            parts = self.parts(t) if t else []
+            found = list(map(get, parts))
+            if None in found:
+                at = [i for i, f in enumerate(found) if f is None]
+                words = [parts[i] for i in at]
+                new.update(words)
+                lacking.append((len(out), found, at, words))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
+        if new:
             self._learn(new)
-            new = set().union(*parts).difference(self.memo)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        for k, found, at, words in lacking:
+            for i, w in zip(at, words, strict=True):
+                found[i] = self.memo[w]
+            out[k] = b"".join(found)
+        return out
 
     def each(self, texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[bytes]:
         """batch() over runs of at most about `chars` characters."""
