@@ -14,6 +14,7 @@ by name; with no labelled row at all every text is `und`; repeated rows are scor
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from nearfield.llm.common import partitions
-
 ORDER = 3
 
 
@@ -179,18 +178,26 @@ def sample(labelled: DataFrame, docs_per_lang: int = 400, most_chars: int = 65_5
     """Whole labelled texts by language: the docs_per_lang first by hash of doc_id, but for those over most_chars.
 
     This is the bound on what reaches the driver: rows, also where ids repeat.  labelled: doc_id, text, lang (not null).
-    The ids are ranked without the texts, in as many parts a language as there are shuffle partitions and then over what
-    the parts keep; only the chosen ids' texts are read.
+    The ids are ranked without the texts, and only those whose hash is among the first of about four times as many as are
+    wanted (all of a language where that was too few); only the chosen ids' texts are read.
     """
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(partitions(labelled.sparkSession)))
-    ids = labelled.where("lang is not null").select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("_h"), part.alias("_part"))
-    for by in (["lang", "_part"], ["lang"]):
-        order = Window.partitionBy(*by).orderBy("_h", "doc_id")
-        ids = ids.withColumn("_r", F.row_number().over(order)).where(f"_r <= {docs_per_lang}")
-    picked = [r[0] for r in ids.select("doc_id").distinct().collect()]
+    spark = labelled.sparkSession
+    h = F.md5(F.col("doc_id").cast("string"))
+    ids = labelled.where("lang is not null").select("lang", "doc_id", h.alias("_h"), (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 2.0**32).alias("_u"))
+    sizes = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    picked: set = set()
+    todo = {g: min(1.0, 4 * docs_per_lang / n) for g, n in sizes.items()}
+    while todo:
+        few = ids.join(F.broadcast(spark.createDataFrame(list(todo.items()), "lang string, _share double")), "lang").where("_u < _share")
+        ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(f"_r <= {docs_per_lang}")
+        rows = ranked.select("lang", "doc_id").collect()
+        got = Counter(r["lang"] for r in rows)
+        short = {g for g, u in todo.items() if u < 1 and got[g] < min(docs_per_lang, sizes[g])}
+        picked |= {r["doc_id"] for r in rows if r["lang"] not in short}
+        todo = dict.fromkeys(sorted(short), 1.0)
     out: dict[str, list[bytes]] = {}
     if picked:
-        rows = labelled.where(F.col("doc_id").isin(picked) & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
+        rows = labelled.where(F.col("doc_id").isin(sorted(picked)) & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
         order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text"))
         rows = rows.withColumn("_r", F.row_number().over(order)).where(f"_r <= {docs_per_lang}")
         for r in sorted(rows.select("lang", "doc_id", "text").collect(), key=lambda r: (r[0], r[1], r[2])):
