@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: int = 80, text: str = "t
     b = bands(c)
     full = b.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     b = durable(b.join(full, "key"), "bands")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(c.select("id", "n"), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
     stars = b.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = durable(hopeful(stars, c, least), "stars")
     edges = durable(confirm(stars, texts, k, least), "edges")
