@@ -46,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = durable(found, "groups")
     first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
     best = found.groupBy("group").agg(first["row"].alias("best"), F.count("*").alias("n")).where("n > 1")
-    gone = found.join(best, "group").where("row <> best").select("row")
+    gone = durable(found.join(best, "group").where("row <> best").select("row"), "gone")
     return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
