@@ -233,3 +233,49 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "payload_bytes", name("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes",
         name("media").alias("media_sha256"), feature().alias("feature"),
     )
+
+
+#: The RIFF file, its chunks by the gear hash, and the features, from the text alone.  A byte's rolling hash is built by
+#: doubling the span, cuts by following the marks from one to the next; the mean is rounded half up from whole numbers.
+OP3_SQL = rf"""
+WITH RECURSIVE one AS (
+  SELECT g AS i, printf('%02x', g) AS two, sha256(unhex(printf('%02x', g))) AS s FROM range(256) r(g)),
+gear AS (SELECT i AS v, two, CAST('0x' || s[7:8] || s[5:6] || s[3:4] || s[1:2] AS BIGINT) AS g FROM one),
+remainders AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM one),
+d AS (SELECT x, row_number() OVER () AS k FROM (SELECT DISTINCT coalesce(text, '') AS x FROM documents)),
+p AS (SELECT k, x, strlen(x) AS n_bytes, greatest({UNIT}, (strlen(x) + {UNIT - 1}) // {UNIT} * {UNIT}) AS size FROM d),
+q AS (
+  SELECT k, n_bytes, size, lower(hex(encode(x))) || repeat('00', size - n_bytes) AS body,
+    list_transform([36 + size, {RATE}, size], lambda z: printf('%02x%02x%02x%02x', z & 255, z >> 8 & 255, z >> 16 & 255, z >> 24 & 255)) AS le FROM p),
+m AS (
+  SELECT k, n_bytes, size, 44 + size AS n, body,
+    '52494646' || le[1] || '57415645666d7420100000000100' || '0100' || le[2] || le[2] || '01000800' || '64617461' || le[3] || body AS media FROM q),
+pieces AS (SELECT k, n, unnest(range(n)) AS i, unnest(regexp_extract_all(media, '..')) AS two FROM m),
+b AS (SELECT k, n, i, v, g FROM pieces JOIN gear USING (two)),
+sums AS (
+  SELECT k, sum(v - 128) AS s, sum((v - 128) * (v - 128)) AS q, list(v ORDER BY i) FILTER (i >= n - {UNIT}) AS tail,
+    count(*) FILTER ((v < 128) <> (before < 128)) AS turns
+  FROM (SELECT *, lag(v) OVER (PARTITION BY k ORDER BY i) AS before FROM b WHERE i >= 44) GROUP BY k),
+h2 AS (SELECT k, i, (g + (coalesce(lag(g, 1) OVER w, 0) << 1)) & 4294967295 AS h FROM b WHERE n > {LEAST} WINDOW w AS (PARTITION BY k ORDER BY i)),
+h4 AS (SELECT k, i, (h + (coalesce(lag(h, 2) OVER w, 0) << 2)) & 4294967295 AS h FROM h2 WINDOW w AS (PARTITION BY k ORDER BY i)),
+h8 AS (SELECT k, i, (h + (coalesce(lag(h, 4) OVER w, 0) << 4)) & 4294967295 AS h FROM h4 WINDOW w AS (PARTITION BY k ORDER BY i)),
+h16 AS (SELECT k, i, (h + (coalesce(lag(h, 8) OVER w, 0) << 8)) & 4294967295 AS h FROM h8 WINDOW w AS (PARTITION BY k ORDER BY i)),
+h32 AS (SELECT k, i, (h + (coalesce(lag(h, 16) OVER w, 0) << 16)) & 4294967295 AS h FROM h16 WINDOW w AS (PARTITION BY k ORDER BY i)),
+marks AS (SELECT k, list(i + 1 ORDER BY i) AS ends FROM h32 WHERE h >> {32 - BITS} = 0 GROUP BY k),
+cut AS (
+  SELECT k, n, coalesce(ends, []) AS ends, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS chunks FROM m LEFT JOIN marks USING (k)
+  UNION ALL
+  SELECT k, n, ends, least(pos + {MOST}, n, coalesce(list_filter(ends, lambda z: z >= pos + {LEAST})[1], n)), chunks + 1 FROM cut WHERE n - pos > {LEAST}),
+counted AS (SELECT k, chunks + CAST(pos < n AS BIGINT) AS chunks FROM cut WHERE n - pos <= {LEAST}),
+made AS (
+  SELECT k, n_bytes, size AS payload_bytes, sha256(unhex(body)) AS payload_sha256,
+    xor(list_reduce(list_concat([4294967295], tail), lambda c, z: xor(c >> 8, tab[CAST((xor(c, z) & 255) + 1 AS BIGINT)])), 4294967295) AS tail_crc32,
+    n AS media_bytes, sha256(unhex(media)) AS media_sha256, s < 0 AS minus, CAST((20000 * abs(s) + size) // (2 * size) AS BIGINT) AS mean,
+    sqrt(q / size) AS rms, turns, chunks
+  FROM m JOIN sums USING (k) JOIN counted USING (k), remainders)
+SELECT doc_id, n_bytes, payload_bytes, payload_sha256, CAST(tail_crc32 AS BIGINT) AS tail_crc32, media_bytes, media_sha256,
+  printf('mean=%s%d.%04d rms=%.4f turns=%d chunks=%d', CASE WHEN minus THEN '-' ELSE '' END, mean // 10000, mean % 10000, rms, turns, chunks) AS feature
+FROM documents JOIN d ON coalesce(text, '') = x JOIN made USING (k)
+"""

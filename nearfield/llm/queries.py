@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_mix_water_filling": mixing.OP2_SQL,
+    "op3_media_chunks": media.OP3_SQL,
     "op4_pivot_permutation": pivots.OP4_SQL,
     "op6_warc_segments": warc.OP6_SQL,
     "op7_setsketch": setsketch.OP7_SQL,

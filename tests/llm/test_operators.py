@@ -58,7 +58,7 @@ def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_mix_water_filling", "op6_warc_segments", "op9_bloom_cascade"])
+@pytest.mark.parametrize("name", ["op2_mix_water_filling", "op3_media_chunks", "op6_warc_segments", "op9_bloom_cascade"])
 def test_sql(spark, tables, name):
     import duckdb
 
