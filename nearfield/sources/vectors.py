@@ -2,19 +2,22 @@
 
 Readers find a file's size through Spark's `binaryFile` source (metadata only) and read byte ranges in parallel tasks
 through its own file API where the path is local or shared, or whole files through Spark otherwise.
-Writers make one file from ordered parts; they run where that file is seen (a shared folder).
+Writers make one file of ranges of rows, which tasks write at their places; driver and executors must share its folder.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.plans.durable import durable
+
 KINDS = {"f32": "<f4", "f16": "<f2", "u8": "u1", "i8": "i1", "u32": "<u4"}
 PART = 32 << 20
 
@@ -82,20 +85,58 @@ def read(spark: SparkSession, path: str, kind: str = "f32", dims: int | None = N
 
 
 def write(df: DataFrame, path: str, kind: str = "f32", header: bool = True, id_: str = "id", vec: str = "vec") -> int:
-    """Write rows in id order into one file; the number of rows.  Rows stream through the driver, part by part."""
-    n, dims = 0, None
-    with open(path.removeprefix("file://"), "wb") as f:
-        if header:
-            f.write(bytes(8))
-        for r in df.select(vec).orderBy(id_).toLocalIterator():
-            x = np.asarray(r[0]).astype(KINDS[kind])
-            if dims not in (None, len(x)):
-                raise ValueError("rows have different lengths")
-            dims, n = len(x), n + 1
-            f.write(x.tobytes())
-        if header:
-            f.seek(0)
-            f.write(struct.pack("<II", n, dims or 0))
+    """Write rows in id order into one file in a folder that driver and executors share; the number of rows.
+
+    Rows are dealt to ranges of ids, which tasks write at their own places of the file; only each range's row count and
+    lengths reach the driver.  A task that runs again writes the same bytes.  The file takes its name when it is whole.
+    Equal ids come in any order, null ids first; a missing vector or component, or another length, is an error.
+    """
+    spark, dtype = df.sparkSession, KINDS[kind]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(id_).alias("id"), F.col(vec).alias("vec")).repartitionByRange(parts, "id").sortWithinPartitions("id")
+    rows = durable(rows.select("vec", F.monotonically_increasing_id().alias("at")), "file")
+    length = F.coalesce(F.size("vec"), F.lit(-1))
+    found = rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"), F.min(length).alias("low"), F.max(length).alias("high")).orderBy("part").collect()
+    if any(r["low"] < 0 for r in found):
+        raise ValueError("a row has no vector")
+    if len({x for r in found for x in (r["low"], r["high"])}) > 1:
+        raise ValueError("rows have different lengths")
+    n, dims, starts = 0, found[0]["low"] if found else 0, {}
+    for r in found:
+        starts[r["part"]] = n
+        n += r["n"]
+    skip, stride = 8 if header else 0, dims * np.dtype(dtype).itemsize
+    path = path.removeprefix("file://")
+    made = f"{path}.{uuid.uuid4().hex}.part"
+
+    def fill(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        with open(made, "r+b") as f:
+            for b in batches:
+                values = b.column(0).flatten()
+                if values.null_count:
+                    raise ValueError("a vector has a missing component")
+                x = values.to_numpy(zero_copy_only=False).astype(dtype)
+                at = np.array([starts[a >> 33] + (a & (1 << 33) - 1) for a in b.column(1).to_pylist()], np.int64)
+                runs = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)] if len(at) else []
+                for i, j in zip(runs, runs[1:], strict=False):
+                    f.seek(skip + int(at[i]) * stride)
+                    f.write(x[i * dims : j * dims].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64())], names=["n"])
+
+    try:
+        with open(made, "wb") as f:
+            if header:
+                f.write(struct.pack("<II", n, dims))
+            f.truncate(skip + n * stride)
+        written = rows.mapInArrow(fill, "n long").agg(F.sum("n")).first()[0] or 0
+        if written != n:
+            raise RuntimeError(f"{written} rows of {n} were written")
+        os.replace(made, path)
+    finally:
+        if os.path.exists(made):
+            os.remove(made)
     return n
 
 
@@ -105,15 +146,26 @@ def convert_f16(spark: SparkSession, source: str, dims: int, target: str) -> int
 
 
 def read_neighbors(spark: SparkSession, path: str, per_row: int = 100) -> DataFrame:
-    """Rows of per_row (i64 id, f64 distance) pairs: qid, rank, id, distance."""
+    """Rows of per_row (i64 id, f64 distance) pairs: qid, rank, id, distance.  Ranges of rows are read by tasks."""
     pair = np.dtype([("id", "<i8"), ("distance", "<f8")])
-    data = np.fromfile(path.removeprefix("file://"), pair) if os.path.getsize(path.removeprefix("file://")) % (pair.itemsize * per_row) == 0 else None
-    if data is None:
+    path = path.removeprefix("file://")
+    n, odd = divmod(os.path.getsize(path), pair.itemsize * per_row)
+    if odd:
         raise ValueError("file is not a whole number of rows")
-    import pandas as pd
+    step = max(1, PART // (pair.itemsize * per_row))
 
-    q, r = np.divmod(np.arange(len(data)), per_row)
-    return spark.createDataFrame(pd.DataFrame({"qid": q, "rank": (r + 1).astype("i4"), "id": data["id"], "distance": data["distance"]}), "qid long, rank int, id long, distance double")
+    def ranges(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                x = np.fromfile(path, pair, min(step, n - i * step) * per_row, offset=i * step * per_row * pair.itemsize)
+                q, r = np.divmod(np.arange(len(x)), per_row)
+                columns = [q + i * step, (r + 1).astype("i4"), x["id"].copy(), x["distance"].copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", "rank", "id", "distance"])
+
+    parts = -(-n // step)
+    return spark.range(0, parts, 1, max(1, parts)).mapInArrow(ranges, "qid long, rank int, id long, distance double")
 
 
 def write_truth(neighbors: DataFrame, path: str) -> int:

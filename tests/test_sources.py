@@ -29,6 +29,33 @@ def test_prefixed_and_raw_files(spark, tmp_path):
         files.read(spark, str(tmp_path / "bad"), dims=1)
 
 
+def test_files_are_written_by_many_tasks(spark, tmp_path):
+    """Shuffled rows, gaps and repeats among the ids; nothing is left of a file that can't be whole."""
+    r = np.random.default_rng(5)
+    ids = r.permutation(np.repeat(np.arange(0, 3000, 3), r.integers(1, 3, 1000)))
+    v = spark.createDataFrame([(int(i), [float(i), -1.0, 0.5]) for i in ids], "id long, vec array<float>").repartition(7)
+    assert files.write(v, str(tmp_path / "many")) == len(ids)
+    got = [x["vec"][0] for x in files.read(spark, str(tmp_path / "many")).orderBy("id").collect()]
+    assert got == sorted(map(float, ids))
+    assert files.write(v.where("false"), str(tmp_path / "none")) == 0
+    assert files.check(str(tmp_path / "none"))["count"] == 0
+    for bad, message in (([1.0], "lengths"), (None, "no vector"), ([1.0, None, 2.0], "missing component")):
+        with pytest.raises(Exception, match=message):
+            files.write(v.union(spark.createDataFrame([(None, bad)], v.schema)), str(tmp_path / "bad"))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["many", "none"]
+
+
+def test_neighbors_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART", 100)
+    pair = np.dtype([("id", "<i8"), ("distance", "<f8")])
+    x = np.array([(i, i / 8) for i in range(51)], pair)
+    x.tofile(tmp_path / "n")
+    got = files.read_neighbors(spark, str(tmp_path / "n"), 3).orderBy("qid", "rank").collect()
+    assert [tuple(r) for r in got] == [(i // 3, i % 3 + 1, i, i / 8) for i in range(51)]
+    with pytest.raises(ValueError, match="whole number"):
+        files.read_neighbors(spark, str(tmp_path / "n"), 2)
+
+
 def test_neighbors(spark, tmp_path):
     pair = np.dtype([("id", "<i8"), ("distance", "<f8")])
     np.array([(5, 0.5), (6, 0.75), (7, 0.1), (8, 0.2)], pair).tofile(tmp_path / "n")
