@@ -8,9 +8,10 @@ maximum-likelihood estimate from the registers passes over hopeless ones, and ev
 
 Equal sets are one class.  Confirmation goes in two steps, so that large groups never need all their pairs: first every
 class against the smallest id of each of its bands; then, in bands that still hold several components, classes of
-different components against each other, in blocks: registers alone tell which rows of a block have a hopeful partner in
-it, and only these rows' texts are fetched.  A pair is looked at in the first band it shares only, what a block has linked
-is one component from then on, and only links that join components leave it.
+different components against each other, in blocks: registers alone tell which rows of a band have a hopeful partner in
+it, and only these rows' texts are fetched.  A band's blocks are few and grow with it, so that a row goes to a bounded
+number of them, up to a size that a task can hold.  A pair is looked at in the first band it shares only, what a block has
+linked is one component from then on, and only links that join components leave it.
 
 Shingles are named by 64-bit hashes and equal sets by two 64-bit sums of these.  Defined results: null, empty and blank
 texts have an empty set and link with nothing; a row with a null id is returned alone with a null component; rows that
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import components, durable
 
 REGISTERS, BAND, BASE, RATE, TOP = 128, 4, 1.001, 20.0, 65_534
-BLOCK = 256
+#: Rows of a block; the blocks of a kind that a band is cut into before its blocks grow instead; bytes of the largest block.
+BLOCK, GRID, HELD = 1024, 4, 32 << 20
+#: Bytes of a row that has no text: registers and numbers.
+ROW = 2 * REGISTERS + 64
 _RNG = np.random.Generator(np.random.PCG64(20_240_501))
 _BYTE = _RNG.integers(1, 2**64, 256, np.uint64)
 _ODD = _RNG.integers(0, 2**31, REGISTERS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -125,23 +129,25 @@ def estimate(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np
 
 
 def sketches(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (which name the set), regs (binary)."""
+    """doc_id, n (set size), s1 and s2 (which name the set), regs (binary), size (bytes of the text)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
             sets = [shingles(t.as_py(), k) for t in b.column(1)]
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             regs = registers(sets)
             with np.errstate(over="ignore"):
                 s1 = [int(s.sum(dtype=np.uint64)) - 2**63 for s in sets]
                 s2 = [int(_mix(s + np.uint64(99)).sum(dtype=np.uint64)) - 2**63 for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["doc_id", "n", "s1", "s2", "regs"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), size],
+                names=["doc_id", "n", "s1", "s2", "regs", "size"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, regs binary")
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, regs binary, size long")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -179,9 +185,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame
 
 
 def classes_of(s: DataFrame) -> DataFrame:
-    """One row per different non-empty set: id (the smallest), n, s1, s2, regs."""
+    """One row per different non-empty set: id (the smallest), n, s1, s2, regs, size (of the longest text)."""
     one = s.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
-    return one.agg(F.min("doc_id").alias("id"), F.min("regs").alias("regs"))
+    return one.agg(F.min("doc_id").alias("id"), F.min("regs").alias("regs"), F.max("size").alias("size"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, least: int = 80, text: str = "text") -> DataFrame:
@@ -260,22 +266,34 @@ class Pairs:
         return other
 
 
-def residual(b: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, k: int, least: int, block: int = BLOCK) -> DataFrame:
-    """Confirmed links (a, b) of classes that share a band but were in different components: enough to join all that links."""
-    at = b.join(comp.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # A band of over a block: rows of its largest component need not meet each other.  They are dealt to `own` blocks that
-    # follow the `other` blocks of the rest, and go to each pair with one of those; the rest meet all.
-    sizes = at.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    few = F.col("n") <= block
-    sizes = sizes.where("parts > 1").select("key", F.when(~few, F.col("most.component")).alias("large"), F.when(few, 0).otherwise(blocks(F.col("most.n"))).alias("own"), F.when(few, 1).otherwise(blocks(F.col("n") - F.col("most.n"))).alias("other"))
-    at = durable(at.join(sizes, "key").select("key", "band", "id", "component", "large", "own", "other"), "mixed")
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Those of rows (key, id, component, bytes and more) whose key has several components, without bytes, with c, the block
+    that a row is in, and ij, the pairs of its key's blocks that it goes to.
+
+    Rows of a key's largest component need not meet each other.  Where there are more than fit one block, they are dealt to
+    `own` blocks that follow the `other` blocks of the rest, and go to each pair with one of those; the rest meet all.
+    """
+    n, size = F.count("*").alias("n"), F.sum("bytes").alias("bytes")
+    sizes = rows.groupBy("key", "component").agg(n, size).groupBy("key").agg(F.max(F.struct("n", "component", "bytes")).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts"))
+    blocks = lambda n, size: F.greatest(F.least(F.ceil(n / block), F.lit(GRID)), F.ceil(size / HELD)).cast("int")
+    few = (F.col("n") <= block) & (F.col("bytes") <= HELD)
+    own = F.when(few, 0).otherwise(blocks(F.col("most.n"), F.col("most.bytes")))
+    other = F.when(few, 1).otherwise(blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")))
+    sizes = sizes.where("parts > 1").select("key", F.when(~few, F.col("most.component")).alias("large"), own.alias("own"), other.alias("other"))
     large, h = F.coalesce(F.col("component") == F.col("large"), F.lit(False)), F.xxhash64("id")
+    at = rows.drop("bytes").join(sizes, "key")
     at = at.withColumn("c", F.when(large, F.col("other") + F.pmod(h, F.col("own"))).otherwise(F.pmod(h, F.col("other"))).cast("int"))
     every = F.sequence(F.lit(0), F.col("other") + F.when(large, F.lit(0)).otherwise(F.col("own")) - 1)
     ij = F.transform(every, lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
-    full = classes.select("id", "n", "regs").join(at.withColumn("ij", F.explode(ij)), "id")
-    full = full.select("key", "ij.i", "ij.j", "band", "c", "id", "n", "component", "regs")
+    return at.withColumn("ij", ij).drop("large", "own", "other")
+
+
+def residual(b: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, k: int, least: int, block: int = BLOCK) -> DataFrame:
+    """Confirmed links (a, b) of classes that share a band but were in different components: enough to join all that links."""
+    at = b.join(comp.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    at = durable(dealt(at.select("key", "band", "id", "component", F.lit(ROW).alias("bytes")), block), "mixed")
+    full = classes.select("id", "n", "regs", "size").join(at, "id").withColumn("ij", F.explode("ij"))
+    full = full.select("key", "ij.i", "ij.j", "band", "c", "id", "n", "component", "regs", "size")
 
     def hopeful_rows(key, t):  # noqa: ANN001, ANN202
         import pyarrow as pa
@@ -285,7 +303,7 @@ def residual(b: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame
             other = p.partners(r).tolist()
             if other:
                 live.update((r, *other))
-        return t.take(pa.array(sorted(live), pa.int64())).select(kept)
+        return t.take(pa.array(sorted(live), pa.int64())).select(lasting)
 
     def compare(key, t):  # noqa: ANN001, ANN202
         import pyarrow as pa
@@ -314,9 +332,12 @@ def residual(b: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame
                         p.comp[p.comp == p.comp[o]] = p.comp[r]
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    kept = ["key", "i", "j", "band", "c", "id", "n", "component", "regs"]
-    live = full.groupBy("key", "i", "j").applyInArrow(hopeful_rows, "key long, i int, j int, band int, c int, id long, n long, component long, regs binary")
-    live = durable(live, "hopeful").join(texts, "id")
+    lasting = ["key", "band", "id", "n", "component", "regs", "size"]
+    live = full.groupBy("key", "i", "j").applyInArrow(hopeful_rows, "key long, band int, id long, n long, component long, regs binary, size long")
+    # A row may have partners in several blocks; its text goes to as many as the bytes of its band's hopeful texts ask for.
+    live = durable(live, "hopeful").distinct().withColumn("bytes", F.col("size") + ROW).drop("size")
+    live = dealt(live, block).join(texts, "id").withColumn("ij", F.explode("ij"))
+    live = live.select("key", "ij.i", "ij.j", "band", "c", "id", "n", "component", "regs", "text")
     return live.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 

@@ -328,6 +328,36 @@ def test_bands_of_several_components_in_small_blocks(spark, monkeypatch):
     assert got == groups
 
 
+def test_rows_of_a_large_group_go_to_few_blocks(spark, monkeypatch):
+    """Near copies just below the limit, which stay apart: a row's copies don't grow with the group, and no link is lost."""
+    import random
+
+    r, most, counted = random.Random(5), {}, []
+    written = setsketch.durable
+
+    def count(df, tag="t", *more):
+        out = written(df, tag, *more)
+        if tag == "hopeful":
+            counted.append(out.groupBy("key", "id").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(setsketch, "durable", count)
+    monkeypatch.setattr(setsketch.residual, "__defaults__", (3,))
+    for m in (40, 120):
+        base, rows = [f"w{r.randrange(10**6)}" for _ in range(120)], []
+        for i in range(m):
+            words = base[:]
+            for at in r.sample(range(120), 2 if i % 10 else 1 + i % 4):
+                words[at] = f"w{r.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        groups, _ = brute_groups(rows, 3, 90)
+        assert 10 < len(set(groups.values())) < m
+        got = {x["doc_id"]: x["component_id"] for x in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+        assert got == groups
+        most[m] = counted.pop()
+    assert max(most.values()) <= 8
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = dict(map(tuple, common.components(spark.createDataFrame(e, "a long, b long")).collect()))
