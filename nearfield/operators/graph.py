@@ -11,18 +11,23 @@ import bisect
 import json
 import time
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.coding import Coding, coding
+from nearfield.functions.coding import F32, Coding, coding
 from nearfield.plans.blocks import BLOCK_BYTES, QUERY_BYTES, extent, matrix
 from nearfield.plans.durable import durable
 from nearfield.plans.topk import top_k
 
+#: Queries that search a shard together; pairs that a build takes distances of at once.
+QS, PAIRS = 256, 1 << 21
+#: Number of shards before they grow, and the rows they grow to before there are more of them.
+SHARDS, MOST_ROWS = 256, 50_000
+
 
 @dataclass(frozen=True)
 class Config:
@@ -70,25 +75,27 @@ def prune(edges: list[tuple[float, int]], between: np.ndarray, max_edges: int, m
     if not edges:
         return []
     own = np.array([d for d, _ in edges])
-    kept = np.zeros(len(edges), bool)
-    kept[0] = True
-    alpha, n = 1.0, 1
+    kept = [True] + [False] * (len(edges) - 1)
+    alpha, n, wide = 1.0, 1, -(-len(edges) // 8)
     with np.errstate(divide="ignore", invalid="ignore"):
-        while alpha <= max_alpha and n < max_edges:
-            for i in range(1, len(edges)):
-                if kept[i]:
-                    continue
-                near = np.flatnonzero(kept[:i])
-                if (own[near] / between[i, near] > alpha).any():
+        over = own[None, :] / between
+    while alpha <= max_alpha and n < max_edges:
+        # Bits of what each edge rules out once it is kept, and of what is ruled out so far.
+        bits = np.packbits(over > alpha, axis=0, bitorder="little").T.tobytes()
+        gone = 0
+        for i in range(len(edges)):
+            if not kept[i]:
+                if gone >> i & 1:
                     continue
                 kept[i] = True
                 n += 1
                 if n >= max_edges:
                     break
-            if scale <= 1:
-                break
-            alpha *= scale
-    return np.flatnonzero(kept).tolist()
+            gone |= int.from_bytes(bits[i * wide : (i + 1) * wide], "little")
+        if scale <= 1:
+            break
+        alpha *= scale
+    return [i for i, x in enumerate(kept) if x]
 
 
 class Graph:
@@ -103,6 +110,11 @@ class Graph:
         self.edges: dict[int, list[int]] = {}
         self.entry: int | None = None
         self.stats = Stats()
+        fine = self._fine()[0]
+        #: Whether one coding of plain floats serves navigation and edges; vectors are rows of x then, as the coding opens them.
+        self.plain = isinstance(fine, F32) and fine.name == self.nav.name
+        self.x = np.empty((0, config.dims))
+        self.at: dict[int, int] = {}
 
     # Vectors
 
@@ -110,15 +122,25 @@ class Graph:
         x = np.asarray(vec, np.float32)[None]
         if x.shape[1] != self.config.dims:
             raise ValueError(f"a vector has {x.shape[1]} dimensions, the index {self.config.dims}")
-        self.nav_codes[id_] = self.nav.encode(x)[0]
-        if self.best:
-            self.best_codes[id_] = self.best.encode(x)[0]
+        self.put_all([id_], x)
 
     def put_all(self, ids: Iterable[int], x: np.ndarray) -> None:
-        ids = list(ids)
-        self.nav_codes.update(zip(ids, self.nav.encode(x), strict=True))
+        self.put_codes(list(ids), self.nav.encode(x), self.best.encode(x) if self.best else None)
+
+    def put_codes(self, ids: list[int], nav: np.ndarray, best: np.ndarray | None) -> None:
+        self.nav_codes.update(zip(ids, nav, strict=True))
         if self.best:
-            self.best_codes.update(zip(ids, self.best.encode(x), strict=True))
+            self.best_codes.update(zip(ids, best, strict=True))
+        if self.plain and ids:
+            n = len(self.at)
+            for i in ids:
+                self.at.setdefault(i, len(self.at))  # of deleted vertices, rows and places stay
+            if len(self.at) > len(self.x):
+                self.x = np.concatenate([self.x[:n], np.empty((max(n, len(self.at) - n), self.config.dims))])
+            self.x[[self.at[i] for i in ids]] = self.nav.opened(nav)
+
+    def _points(self, ids: list[int]) -> np.ndarray:
+        return self.x[[self.at[i] for i in ids]]
 
     def _fine(self) -> tuple[Coding, dict[int, np.ndarray]]:
         """What edges are chosen by: the rerank vectors where there are any."""
@@ -128,6 +150,9 @@ class Graph:
         c, codes = self._fine()
         if not a or not b:
             return np.zeros((len(a), len(b)))
+        if self.plain:
+            y = self._points(b)
+            return c.score(y if a is b else self._points(a), y)
         return c.symmetric(np.stack([codes[i] for i in a]), np.stack([codes[i] for i in b]))
 
     # Search
@@ -136,7 +161,10 @@ class Graph:
         """(distance, id) in order.  own: search for that vertex by its code, and never see it."""
         cfg = self.config
         s = self.stats = Stats()
-        if own is None:
+        if self.plain:
+            point = self.nav.ready(np.asarray(q, np.float32)[None]) if own is None else self._points([own])
+            score = lambda ids: self.nav.score(point, self._points(ids))[0]
+        elif own is None:
             qn = np.asarray(q, np.float32)[None]
             score = lambda ids: self.nav.query(qn, np.stack([self.nav_codes[i] for i in ids]))[0]
         else:
@@ -198,6 +226,80 @@ class Graph:
             return sorted(zip(d.tolist(), some, strict=True))
         return found
 
+    def search_all(self, qs: np.ndarray, rerank: int | None = None) -> list[tuple[list[tuple[float, int]], Stats]]:
+        """search() of many queries, with its counters; those of a plain index take every step together."""
+        cfg = self.config
+        if not self.plain or cfg.patience_count or self.entry is None:
+            out = []
+            for q in qs:
+                began = time.perf_counter()
+                found = self.search(q, rerank=rerank)
+                self.stats.micros = int(1e6 * (time.perf_counter() - began))
+                out.append((found, self.stats))
+            return out
+        ids = np.array(sorted(self.edges), np.int64)
+        n, place = len(ids), {i: p for p, i in enumerate(ids.tolist())}
+        wide = max(1, max(map(len, self.edges.values())))
+        ends = np.full((n + 1, wide), n)  # n: none
+        for i, p in place.items():
+            some = [place[e] for e in self.edges[i] if e in place]
+            ends[p, : len(some)] = some
+        lost = np.array([len(self.edges[i]) for i in ids.tolist()]) - (ends[:n] < n).sum(1)
+        x = np.concatenate([self._points(ids.tolist()), np.zeros((1, cfg.dims))])
+        long = np.einsum("ij,ij->i", x, x)
+        most = cfg.num_rerank if rerank is None else rerank
+        out = []
+        for at in range(0, len(qs), QS):
+            began = time.perf_counter()
+            q = self.nav.ready(np.asarray(qs[at : at + QS], np.float32))
+            d, i, stats = self._together(q, x, long, ends, lost, place[self.entry])
+            each = int(1e6 * (time.perf_counter() - began) / len(q))
+            for dist, near, counts in zip(d, i, stats.T.tolist(), strict=True):
+                keep = (near < n).nonzero()[0][: most or None]
+                out.append((list(zip(dist[keep].tolist(), ids[near[keep]].tolist(), strict=True)), Stats(*counts, micros=each)))
+        return out
+
+    def _together(self, q: np.ndarray, x: np.ndarray, long: np.ndarray, ends: np.ndarray, lost: np.ndarray, entry: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances and places of each query's list, nearest first, and the first five counters of Stats."""
+        n, beam, l2 = len(x) - 1, self.config.beam, self.nav.similarity == "l2"
+        own = np.einsum("ij,ij->i", q, q)
+
+        def score(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+            dots = np.matmul(x[at], q[a][:, :, None])[:, :, 0]
+            return np.maximum(own[a][:, None] + long[at] - 2 * dots, 0) if l2 else (1 - dots) / 2
+
+        live, stats = np.arange(len(q)), np.zeros((5, len(q)), np.int64)
+        d, i, done = np.full((len(q), beam), np.inf), np.full((len(q), beam), n), np.zeros((len(q), beam), bool)
+        i[:, 0] = entry
+        d[:, :1] = score(live, i[:, :1])
+        seen = np.zeros((len(q), n + 1), bool)
+        seen[:, [entry, n]] = True
+        stats[1] = 1
+        while True:
+            todo = ~done[live] & (i[live] < n)
+            live, todo = live[todo.any(1)], todo[todo.any(1)]
+            if not len(live):
+                return d, i, stats
+            first = todo.argmax(1)
+            at = i[live, first]
+            done[live, first] = True
+            near = ends[at]
+            new = ~seen[live[:, None], near]
+            seen[live[:, None], near] = True
+            near = np.where(new, near, n)
+            dist = np.concatenate([d[live], np.where(new, score(live, near), np.inf)], 1)
+            near, was = np.concatenate([i[live], near], 1), np.concatenate([done[live], np.zeros(new.shape, bool)], 1)
+            order = np.argsort(dist, axis=1, kind="stable")
+            tied = np.take_along_axis(dist, order, 1)
+            tied = np.flatnonzero(((tied[:, 1:] == tied[:, :-1]) & np.isfinite(tied[:, 1:])).any(1))
+            order[tied] = np.lexsort((near[tied], dist[tied]), axis=1)
+            order = order[:, :beam]
+            d[live], i[live], done[live] = (np.take_along_axis(y, order, 1) for y in (dist, near, was))
+            stats[0, live] += new.sum(1)
+            stats[1, live] += (order >= beam).sum(1) - ((order >= beam) & (i[live] == n)).sum(1)
+            stats[2, live] += 1
+            stats[4, live] += lost[at]
+
     # Mutation
 
     def _prune_list(self, id_: int, ends: list[int]) -> tuple[list[int], list[int]]:
@@ -319,14 +421,29 @@ class Graph:
         d = block(x.mean(0, keepdims=True, dtype=np.float64), x.astype(np.float64), self.config.similarity)[0]
         self.entry = ids[int(np.lexsort((ids, d))[0])]
         self.edges[self.entry] = []
-        for i in ids:
-            if i != self.entry:
-                found = self.search(None, own=i, rerank=self.config.beam if self.best else 0)
-                self._link(i, found)
+        rest = [i for i in ids if i != self.entry]
+        found = self._earlier([self.entry, *rest]) if self.plain else (self.search(None, own=i, rerank=self.config.beam if self.best else 0) for i in rest)
+        for i, near in zip(rest, found, strict=True):
+            self._link(i, near)
         for i in ids:
             if len(self.edges[i]) > self.config.max_edges:
                 self.edges[i] = self._prune_list(i, self.edges[i])[0]
 
+    def _earlier(self, ids: list[int]) -> Iterator[list[tuple[float, int]]]:
+        """For each but the first, the nearest of those before it, as many as a search would list: by blocks of all distances."""
+        beam, names, x = self.config.beam, np.array(ids, np.int64), self._points(ids)
+        rows = max(16, PAIRS // len(ids))
+        for at in range(1, len(ids), rows):
+            to = min(at + rows, len(ids))
+            d = self.nav.score(x[at:to], x[:to])
+            d[np.arange(to) >= np.arange(at, to)[:, None]] = np.inf
+            near = np.argpartition(d, beam - 1, axis=1)[:, :beam] if to > beam else np.broadcast_to(np.arange(to), d.shape)
+            dist = np.take_along_axis(d, near, 1)
+            for n, (e, p) in enumerate(zip(dist, near, strict=True), at):
+                p, e = (y[p < n] for y in (p, e))
+                order = np.lexsort((names[p], e))
+                yield list(zip(e[order].tolist(), names[p[order]].tolist(), strict=True))
+
     def reachable(self) -> set[int]:
         seen: set[int] = set() if self.entry is None else {self.entry}
         todo = deque(seen)
@@ -368,19 +485,25 @@ def _rows(g: Graph, shard: int):  # noqa: ANN202
 
 def restore(config: Config, rows: Iterable[dict], center: np.ndarray | None = None) -> Graph:
     g = Graph(config, center)
+    rows = list(rows)
     for r in rows:
         g.edges[r["id"]] = list(r["edges"])
-        g.nav_codes[r["id"]] = np.frombuffer(r["nav"], np.uint8)
-        if g.best:
-            g.best_codes[r["id"]] = np.frombuffer(r["best"], np.uint8)
         if r["entry"]:
             g.entry = r["id"]
+    codes = lambda c: np.frombuffer(b"".join(r[c] for r in rows), np.uint8).reshape(len(rows), -1)
+    if rows:
+        g.put_codes([r["id"] for r in rows], codes("nav"), codes("best") if g.best else None)
     return g
 
 
-def build(vecs: DataFrame, config: Config, rows_a_shard: int = 50_000, center: bool = False) -> Index:
-    """vecs: id, vec.  As many shards as keep each one's rows bounded; one for a small set.  center: code around the mean."""
-    shards = max(1, -(-vecs.count() // rows_a_shard))
+def shards_for(n: int, rows_a_shard: int) -> int:
+    """Shards of rows_a_shard; beyond SHARDS of them shards grow instead, up to MOST_ROWS, as every query asks all of them."""
+    return max(1, min(-(-n // rows_a_shard), SHARDS), -(-n // max(rows_a_shard, MOST_ROWS)))
+
+
+def build(vecs: DataFrame, config: Config, rows_a_shard: int = 2_000, center: bool = False) -> Index:
+    """vecs: id, vec.  As many shards as shards_for() says; one for a small set.  center: code around the mean."""
+    shards = shards_for(vecs.count(), rows_a_shard)
     mean = None
     if center:
         from nearfield.operators.clustering import mean_vector
@@ -431,12 +554,17 @@ def _ask(g: Graph, ids: np.ndarray, q: np.ndarray, keep, seeds: tuple, rerank: i
     import pyarrow as pa
 
     out: tuple = tuple([] for _ in range(3 + len(COUNTERS)))
-    for qid, v in zip(ids.tolist(), q, strict=True):
-        began = time.perf_counter()
-        found = g.search(v, keep, seeds, rerank=rerank)[:k]
-        g.stats.micros = int(1e6 * (time.perf_counter() - began))
-        counters = [getattr(g.stats, c) for c in COUNTERS]
-        for d, i in found:
+
+    def each() -> Iterator:
+        for v in q:
+            began = time.perf_counter()
+            found = g.search(v, keep, seeds, rerank=rerank)
+            g.stats.micros = int(1e6 * (time.perf_counter() - began))
+            yield found, g.stats
+
+    for qid, (found, stats) in zip(ids.tolist(), each() if keep or seeds else g.search_all(q, rerank), strict=True):
+        counters = [getattr(stats, c) for c in COUNTERS]
+        for d, i in found[:k]:
             for o, x in zip(out, (qid, i, d, *counters), strict=True):
                 o.append(x)
     kinds = (pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * len(COUNTERS))
@@ -456,7 +584,7 @@ def search(index: Index, queries: DataFrame, k: int, keep: Callable[[int], bool]
     if n * width <= QUERY_BYTES:
         t = queries.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).orderBy("id").toArrow()
         shared = index.rows.sparkSession.sparkContext.broadcast((t.column(0).to_numpy(), matrix(t.column(1))))
-        found = index.rows.groupBy("shard").applyInArrow(lambda t: _ask(load(t), *shared.value, keep, seeds, num_rerank, k), FOUND)
+        found = index.rows.repartition(index.shards, "shard").groupBy("shard").applyInArrow(lambda t: _ask(load(t), *shared.value, keep, seeds, num_rerank, k), FOUND)
     else:
         blocks = F.lit(-(-n * width // BLOCK_BYTES))
         every = F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))).alias("shard")
