@@ -25,6 +25,8 @@ from nearfield.plans.topk import top_k
 
 #: Queries that search a shard together; pairs that a build takes distances of at once.
 QS, PAIRS = 256, 1 << 21
+#: Fewer deletions go one by one.
+FEW = 16
 #: Number of shards before they grow, and the rows they grow to before there are more of them.
 SHARDS, MOST_ROWS = 256, 50_000
 
@@ -305,11 +307,18 @@ class Graph:
     def _prune_list(self, id_: int, ends: list[int]) -> tuple[list[int], list[int]]:
         """Kept ends by distance, and the others."""
         ends = [e for e in ends if e in self.nav_codes]
-        order = sorted(zip(self.distances([id_], ends)[0].tolist() if ends else [], ends, strict=True))
-        ends = [e for _, e in order]
+        if self.plain:
+            some = [id_, *ends]
+            every = self.distances(some, some)
+            own = every[0, 1:]
+        else:
+            own = self.distances([id_], ends)[0] if ends else np.empty(0)
+        at = np.lexsort((ends, own))
+        ends, order = [ends[n] for n in at], [(float(own[n]), ends[n]) for n in at]
         if len(ends) <= self.config.max_edges:
             return ends, []
-        kept = set(prune(order, self.distances(ends, ends), self.config.max_edges, self.config.max_alpha, self.config.alpha_scale))
+        between = every[np.ix_(at + 1, at + 1)] if self.plain else self.distances(ends, ends)
+        kept = set(prune(order, between, self.config.max_edges, self.config.max_alpha, self.config.alpha_scale))
         return [e for i, e in enumerate(ends) if i in kept], [e for i, e in enumerate(ends) if i not in kept]
 
     def _with_edge(self, src: int, dst: int) -> tuple[list[int], list[int]]:
@@ -380,12 +389,21 @@ class Graph:
             near = sorted((d[i, j], q) for j, q in enumerate(peers) if j != i)[:most]
             wanted += [(p, q) for _, q in near if q not in before[p]]
         for p, q in wanted:
-            (a, gone_a), (b, gone_b) = self._with_edge(p, q), self._with_edge(q, p)
-            if q in a and p in b:
-                self.edges[p], self.edges[q] = a, b
-                for src, gone in ((p, gone_a), (q, gone_b)):
-                    for g in gone:
-                        self._drop_edge(g, src)
+            self._join(p, q)
+
+    def _join(self, p: int, q: int) -> bool:
+        """An edge in both directions, if both ends keep it."""
+        a, gone_a = self._with_edge(p, q)
+        if q not in a:
+            return False
+        b, gone_b = self._with_edge(q, p)
+        if p not in b:
+            return False
+        self.edges[p], self.edges[q] = a, b
+        for src, gone in ((p, gone_a), (q, gone_b)):
+            for g in gone:
+                self._drop_edge(g, src)
+        return True
 
     def _heal(self, id_: int, ends: list[int]) -> None:
         """Give vertices within two hops that pointed to id_ up to four of its neighbors instead."""
@@ -409,6 +427,63 @@ class Graph:
 
     # Bulk
 
+    def upsert_all(self, ids: list[int], x: np.ndarray) -> None:
+        """upsert() of many, in this order.  Vectors of a plain index are searched for together, at most an eighth of the graph
+        at once, and see those before them of their own batch as well."""
+        self.delete_all([i for i in ids if i in self.edges])
+        at = 0
+        while at < len(ids):
+            to = at + (max(1, min(QS, len(self.edges) // 8)) if self.plain and self.config.num_rerank == 0 else 1)
+            some, part = ids[at:to], x[at:to]
+            found = self.search_all(part)
+            self.put_all(some, part)
+            d = self.distances(some, some) if len(some) > 1 else None
+            for n, (i, (near, _)) in enumerate(zip(some, found, strict=True)):
+                if n:
+                    near = sorted([*near, *zip(d[n, :n].tolist(), some[:n], strict=True)])[: self.config.beam]
+                self._link(i, near)
+            at = to
+
+    def delete_all(self, ids: list[int]) -> None:
+        """delete() of many.  In a plain undirected index, every list that loses ends gets the deleted ones' other ends as
+        candidates and is pruned once; what both ends have chosen stays, then what both have room for."""
+        gone = {i for i in ids if i in self.edges}
+        if not self.plain or self.config.directed or len(gone) < FEW:
+            for i in ids:
+                if i in self.edges:
+                    self.delete(i)
+            return
+        left = [i for i in self.edges if i not in gone]
+        if self.entry in gone:
+            self.entry = left[int(np.lexsort((left, self.distances([self.entry], left)[0]))[0])] if left else None
+        more: dict[int, dict[int, None]] = {}
+        for g in gone:
+            reach, seen = [g], {g}  # on through deleted ones until some are left
+            while reach and not (peers := [e for r in reach for e in self.edges[r] if e not in gone]):
+                reach = [e for r in reach for e in self.edges[r] if e not in seen and not seen.add(e)]
+            for p in peers if reach else ():
+                more.setdefault(p, {}).update(dict.fromkeys(peers))
+        most = self.config.max_edges
+        wish = {}
+        for p, others in more.items():
+            ends = list(dict.fromkeys(e for e in (*self.edges[p], *others) if e != p and e not in gone))
+            wish[p] = self._prune_list(p, ends)[0]
+        for g in gone:
+            del self.edges[g], self.nav_codes[g]
+            self.best_codes.pop(g, None)
+        sets = {p: set(w) for p, w in wish.items()} | {i: set(self.edges[i]) for i in left if i not in wish}
+        for p in left:
+            self.edges[p] = [e for e in wish.get(p, self.edges[p]) if p in sets[e]]
+        for p, w in wish.items():
+            for e in w:
+                if p not in sets[e] and len(self.edges[p]) < most and len(self.edges[e]) < most:
+                    self.edges[p].append(e)
+                    self.edges[e].append(p)
+        reached = self.reachable()
+        for p in left:
+            if p not in reached and any(self._join(p, e) for _, e in self.search(None, own=p)):
+                reached = self.reachable()
+
     def build(self, ids: list[int], x: np.ndarray) -> None:
         """All vectors at once: enter at the vector nearest the mean, insert in id order, prune what is over."""
         order = np.argsort(ids, kind="stable")
@@ -533,11 +608,11 @@ def mutate(index: Index, upserts: DataFrame | None = None, deletes: DataFrame |
 
     def run(key, old, new):  # noqa: ANN001, ANN202
         g = restore(config, old.to_pylist(), None if center is None else np.array(center))
-        for r in sorted(new.to_pylist(), key=lambda r: (r["kind"], r["id"])):
-            if r["kind"] == "upsert":
-                g.upsert(r["id"], np.array(r["vec"], np.float32))
-            elif r["id"] in g.edges:
-                g.delete(r["id"])
+        rows = sorted(new.to_pylist(), key=lambda r: (r["kind"], r["id"]))
+        g.delete_all([r["id"] for r in rows if r["kind"] == "delete"])
+        fresh = {r["id"]: r["vec"] for r in rows if r["kind"] == "upsert"}
+        if fresh:
+            g.upsert_all(list(fresh), np.array(list(fresh.values()), np.float32))
         return _rows(g, key[0].as_py())
 
     old = index.rows.repartition(shards, "shard").groupBy("shard")
